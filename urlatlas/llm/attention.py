@@ -57,10 +57,10 @@ def window_counts(starts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(-(-(np.diff(starts) - 1) // FRESH))])
 
 
-def windows(ids: np.ndarray, starts: np.ndarray, pad: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(ids: np.ndarray, starts: np.ndarray, pad: int, chosen: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts ids[starts[k]:starts[k+1]] (each begins with the id that stands before a text) and the chosen ones of their
     windows: inputs (windows x WINDOW), targets (windows x FRESH, -1 where there is none), and the text of each window."""
-    before = window_counts(starts)
+    before = window_counts(starts) if before is None else before
     text = np.searchsorted(before, chosen, "right") - 1
     at = (chosen - before[text])[:, None] * FRESH + np.arange(-CONTEXT, FRESH + 1)  # place in its text
     last = (starts[text + 1] - starts[text] - 1)[:, None]
@@ -92,36 +92,66 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def log_probabilities(m: Model, inputs: np.ndarray, targets: np.ndarray, block: int = 1024) -> np.ndarray:
-    """Natural log of each target's probability, 0 where there is no target."""
-    out = np.zeros(targets.shape, np.float32)
-    for lo in range(0, len(inputs), block):
-        h = _attend(m, inputs[lo : lo + block])[-1].reshape(-1, VALUE)
-        target = targets[lo : lo + block].ravel()
-        use = np.flatnonzero(target >= 0)
-        place = m.place[target[use]]
+def _safe(x: np.ndarray, most: float = 60.0) -> np.ndarray:
+    """exp in place, without taking each row's maximum off: learned logits stay far below `most`, which no one passes."""
+    np.minimum(x, np.float32(most), out=x)
+    return np.exp(x, out=x)
+
+
+class Scorer:
+    """A model's parameters laid out for scoring: values carry a column of ones, so that one product gives sums too."""
+
+    def __init__(self, m: Model):
+        p = self.p = m.p
+        self.m = m
+        self.q = p["q"] * np.float32(KEY**-0.5)
+        self.v = np.concatenate([p["v"], np.ones((len(p["v"]), 1), np.float32)], axis=1)
+        self.r = p["r"] + p["rb"]
+        self.bias = p["near"][_DISTANCE] + _LATER
+        self.ones = np.ones(CLASS, np.float32), np.ones(len(p["cb"]), np.float32)
+
+    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Natural log of each target's probability, 0 where there is no target."""
+        p, fresh = self.p, inputs[:, CONTEXT:]
+        a = np.matmul(self.q[fresh], p["k"][inputs].transpose(0, 2, 1))
+        a += self.bias
+        mixed = np.matmul(_safe(a), self.v[inputs]).reshape(-1, VALUE + 1)
+        target = targets.ravel()
+        place = np.where(target >= 0, self.m.place[target], 1 << 40)
         order = np.argsort(place, kind="stable")
-        use, place = use[order], place[order]
-        c, h = place // CLASS, h[use]
-        x = h @ m.p["cw"] + m.p["cb"]
-        x -= x.max(axis=1, keepdims=True)
-        logp = x[np.arange(len(c)), c] - np.log(np.exp(x).sum(axis=1))
-        cuts = np.flatnonzero(np.diff(c, prepend=-1, append=len(m.p["mb"])))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            y = h[a:b] @ m.p["mw"][c[a]] + m.p["mb"][c[a]]
-            y -= y.max(axis=1, keepdims=True)
-            logp[a:b] += y[np.arange(b - a), place[a:b] % CLASS] - np.log(np.exp(y).sum(axis=1))
-        flat = out[lo : lo + block].reshape(-1)
-        flat[use] = logp
-    return out
-
-
-def score_texts(m: Model, ids: np.ndarray, starts: np.ndarray, block: int = 4096) -> np.ndarray:
+        order = order[: int(np.count_nonzero(target >= 0))]
+        place, mixed = place[order], mixed[order]
+        h = mixed[:, :VALUE] / mixed[:, VALUE:]
+        h += self.r[fresh.ravel()[order]]
+        np.maximum(h, 0, out=h)
+        c, member = np.divmod(place, CLASS)
+        n = np.arange(len(c))
+        x = h @ p["cw"]
+        x += p["cb"]
+        logp = np.minimum(x[n, c], np.float32(60))
+        whole = _safe(x) @ self.ones[1]
+        cuts = np.searchsorted(c, np.arange(len(p["mb"]) + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            lo, hi = cuts[k], cuts[k + 1]
+            y = h[lo:hi] @ p["mw"][k]
+            y += p["mb"][k]
+            logp[lo:hi] += np.minimum(y[n[: hi - lo], member[lo:hi]], np.float32(60))
+            whole[lo:hi] *= _safe(y) @ self.ones[0]
+        logp -= np.log(whole)
+        out = np.zeros(len(target), np.float32)
+        out[order] = logp
+        return out.reshape(targets.shape)
+
+
+def score_texts(scorer: Scorer, ids: np.ndarray, starts: np.ndarray, block: int = 512) -> np.ndarray:
     """log10 probability of each text; a block of windows at a time, however long a text is."""
-    out, total = np.zeros(len(starts) - 1), int(window_counts(starts)[-1])
+    out, before = np.zeros(len(starts) - 1), window_counts(starts)
+    total = int(before[-1])
     for lo in range(0, total, block):
-        inputs, targets, text = windows(ids, starts, m.pad, np.arange(lo, min(lo + block, total)))
-        out += np.bincount(text, log_probabilities(m, inputs, targets).sum(axis=1, dtype=np.float64), minlength=len(out))
+        inputs, targets, text = windows(ids, starts, scorer.m.pad, np.arange(lo, min(lo + block, total)), before)
+        first = int(text[0])
+        found = np.bincount(text - first, scorer.log_probabilities(inputs, targets).sum(axis=1, dtype=np.float64))
+        out[first : first + len(found)] += found
     return out / np.log(10)
 
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import PieceCache
+from .common import PieceCache, Recent
 
 BITS = 64
 
@@ -87,32 +87,21 @@ class RankQueue:
 class ByteBpe:
     """Encodes by merge ranks; `pattern` cuts a text into pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = 250_000):
         import regex
 
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.words = {k: v for v, k in ranks.items()}
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.pieces = PieceCache(self._encode_matches, cached)
-        self.known: dict[str, bytes] = {}
-        self.cached = cached
+        self.known = Recent(lambda match: np.array(self.merge(match.encode()), "<u4").tobytes(), cached)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         return self.pieces.ids(text)
 
     def _encode_matches(self, text: str) -> bytes:
-        out = []
-        for match in self.find(text):
-            ids = self.known.get(match)
-            if ids is None:
-                ids = np.array(self.merge(match.encode()), "<u4").tobytes()
-                if len(match) <= 32:
-                    if len(self.known) >= self.cached:
-                        self.known.clear()
-                    self.known[match] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, self.find(text)))
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""

@@ -132,28 +132,43 @@ def shingle_hashes(words: np.ndarray, before: np.ndarray, width: int) -> list[np
     return out
 
 
-class PieceCache(dict):
-    """Ids of space-led pieces of a text, as little-endian unsigned 32-bit bytes, for a byte-level BPE whose pattern
-    starts a new match at any single space between two non-empty pieces. `encode` turns any string into such bytes.
-    It forgets everything at `limit` entries and never keeps pieces of over `longest` characters, so its memory is bounded."""
+class Recent(dict):
+    """Answers of `make`, for short keys, in two generations: when one is full it becomes the old one, and what is asked for
+    again moves on. Frequent keys stay, rare ones go, and memory is bounded by twice `limit` entries."""
 
-    def __init__(self, encode, limit: int = 400_000, longest: int = 48):
+    def __init__(self, make, limit: int = 400_000, longest: int = 48):
         super().__init__()
-        self.encode, self.limit, self.longest = encode, limit, longest
-
-    def __missing__(self, piece: str) -> bytes:
-        out = self.encode(" " + piece)
-        if len(piece) <= self.longest:
-            if len(self) >= self.limit:
-                self.clear()
-            self[piece] = out
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
+
+    def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+            if len(key) > self.longest:
+                return out
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
         return out
 
+
+class PieceCache:
+    """Ids of whole texts, as little-endian unsigned 32-bit bytes, for a byte-level BPE whose pattern starts a new match at
+    any single space between two non-empty pieces. `encode` turns any string into such bytes; space-led pieces are
+    remembered."""
+
+    def __init__(self, encode, limit: int = 500_000):
+        self.encode, self.known = encode, Recent(lambda piece: encode(" " + piece), limit)
+
     def ids(self, text: str) -> bytes:
         if "  " in text:  # runs of spaces match together: no cut there
             return b"".join(self.ids(x) if k % 2 == 0 else self.encode(x) for k, x in enumerate(_runs(text)) if x)
-        first, *rest = text.split(" ")
-        return (self.encode(first) if first else b"") + b"".join(map(self.__getitem__, rest))
+        pieces = text.split(" ")
+        first, pieces[0] = pieces[0], None
+        rest = iter(pieces)
+        next(rest)
+        return (self.encode(first) if first else b"") + b"".join(map(self.known.__getitem__, rest))
 
 
 def _runs(text: str) -> list[str]:

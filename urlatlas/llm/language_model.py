@@ -2,8 +2,8 @@
 
 Text is lower-cased (A-Z) and cut at white space; a word is written as a space and its letters in the first `vocabulary`
 ranks of a given byte-level BPE, and one more id ends a text. The model starts from `steps` steps on a bounded sample; then
-every partition of the training texts goes on with every `stride`-th window of each of its texts, and the parameters are
-averaged by the number of ids seen, so that what is learned follows the corpus.
+every partition of the training texts goes on with every `stride`-th run of words of each of its texts, and the parameters
+are averaged by the number of ids seen, so that what is learned follows the corpus.
 
 Word counts for the base cover all training texts: batches of texts send their distinct words with counts by hash bucket
 and get the totals back; which words a text has stays with its batch. Nothing is broadcast but the model.
@@ -15,6 +15,7 @@ repeated rows score alike; very long texts are scored window by window; extra co
 from __future__ import annotations
 
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,28 +31,34 @@ BATCH_BYTES = 4 << 20
 BUCKET_WORDS = 4_000_000
 
 
-class SubwordIds(dict):
-    """Ids of a word (bytes without white space), as unsigned 16-bit bytes; forgets all at `limit` words."""
+class SubwordIds(common.Recent):
+    """Ids of a word (bytes without white space), as unsigned 16-bit bytes."""
 
     def __init__(self, ranks_path: str, pattern: str, vocabulary: int, limit: int = 400_000):
         import tiktoken
 
-        super().__init__()
         ranks = {k: v for k, v in read_ranks(ranks_path).items() if v < vocabulary}
-        self.bpe, self.limit = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), limit
-        self.end = np.array([vocabulary], np.uint16).tobytes()
+        bpe = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        super().__init__(lambda word: array("H", bpe.encode_ordinary(" " + word.decode("utf-8", "replace"))).tobytes(), limit)
+        self.end = array("H", [vocabulary]).tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        out = np.array(self.bpe.encode_ordinary(" " + word.decode("utf-8", "replace")), np.uint16).tobytes()
-        if len(word) <= 48:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = out
-        return out
+    @staticmethod
+    def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(parts), np.uint16).astype(np.int64), np.cumsum([0, *[len(x) // 2 for x in parts]])
 
     def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self.end + b"".join(map(self.__getitem__, t.lower().split())) + self.end for t in texts]
-        return np.frombuffer(b"".join(parts), np.uint16).astype(np.int64), np.cumsum([0, *[len(x) // 2 for x in parts]])
+        return self._joined([self.end + b"".join(map(self.__getitem__, t.lower().split())) + self.end for t in texts])
+
+    def runs(self, texts: list[bytes], length: int, stride: int, rng) -> tuple[np.ndarray, np.ndarray]:
+        """Every `stride`-th run of `length` words of each text, from a random one on; each begins with an id that it doesn't
+        ask for."""
+        parts = []
+        for text, first in zip(texts, (rng.integers(stride, size=len(texts)) * length).tolist(), strict=True):
+            words = text.lower().split()
+            for lo in range(first, len(words) + 1, stride * length):
+                part = b"".join(map(self.__getitem__, words[lo : lo + length]))
+                parts.append((b"" if lo else self.end) + part + (self.end if lo + length > len(words) else b""))
+        return self._joined([x for x in parts if len(x) > 2])
 
 
 def _slices(batches):
@@ -63,7 +70,7 @@ def _slices(batches):
             yield b.slice(lo, hi - lo), data, starts[lo : hi + 1], [whole[i:j] for i, j in zip(starts[lo:hi].tolist(), starts[lo + 1 : hi + 1].tolist(), strict=True)]
 
 
-def train(docs: DataFrame, is_train: Column, subwords, vocabulary: int, sample: int = 1200, longest: int = 20_000, steps: int = 4000, stride: int = 12, block: int = 128, seed: int = 11) -> attention.Model:
+def train(docs: DataFrame, is_train: Column, subwords, vocabulary: int, sample: int = 1200, longest: int = 20_000, steps: int = 4000, run: int = 24, stride: int = 20, block: int = 128, seed: int = 11) -> attention.Model:
     """`subwords`: makes a SubwordIds. `sample`: texts of the bounded first training, none over `longest` bytes;
     it takes `steps` steps of `block` windows."""
     texts = docs.where(is_train).select("text")
@@ -81,11 +88,10 @@ def train(docs: DataFrame, is_train: Column, subwords, vocabulary: int, sample:
 
     def local(batches):
         words, own = subwords(), attention.Model(shared.value.place, {k: v.copy() for k, v in shared.value.p.items()})
-        rng, trainer, seen, waiting = np.random.default_rng(seed), attention.Trainer(own, 2e-3, 400), 0, []
+        rng, trainer, seen = np.random.default_rng(seed), attention.Trainer(own, 2e-3, 400), 0
         for _, _, _, texts in _slices(batches):
-            ids, starts = words.texts(texts)
-            chosen = np.arange(int(rng.integers(stride)), int(attention.window_counts(starts)[-1]), stride)
-            rng.shuffle(chosen)
+            ids, starts = words.runs(texts, run, stride, rng)
+            chosen = rng.permutation(int(attention.window_counts(starts)[-1]))
             for lo in range(0, len(chosen) - block // 2, block):
                 inputs, targets, _ = attention.windows(ids, starts, own.pad, chosen[lo : lo + block])
                 trainer.train(inputs, targets)
@@ -139,10 +145,10 @@ def score(docs: DataFrame, is_train: Column, ranks_path: str, pattern: str, voca
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        words, task, number = subwords(), TaskContext.get().partitionId(), 0
+        words, task, number, scorer = subwords(), TaskContext.get().partitionId(), 0, attention.Scorer(model.value)
         for part, data, starts, texts in _slices(batches):
             training = np.array(part.column("train").to_pylist(), bool)
-            scores = attention.score_texts(model.value, *words.texts(texts))
+            scores = attention.score_texts(scorer, *words.texts(texts))
             names, bucket, counts, places, times, each, n_tokens = _batch_words(data, starts, training, buckets)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
             sent = [(int(bucket[lo]), names[lo:hi].tobytes(), counts[lo:hi].tobytes()) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]

@@ -13,6 +13,7 @@ not looked at; an empty table gives no pieces. `sequence_id` is unique over the
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -120,7 +121,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        cache = PieceCache(lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+        cache = PieceCache(lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
         end = end_id.to_bytes(4, "little")
         packer = Packer(limits, TaskContext.get().partitionId() << 33)
         open_docs: dict[int, list] = {}  # with tokens to place: id, ids, tokens left
