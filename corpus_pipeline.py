@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from urlatlas.llm import exact_dedup, language_id, ngram_join, packing, toxicity
 from urlatlas.llm.common import checkpoint_dir, crc_of_id, documents
-from urlatlas.llm.queries import tokenizer
+from urlatlas.llm.queries import pattern, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -46,7 +46,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), pattern())
 
 
 STAGES = [("language_id", language), ("toxicity", toxic), ("exact_dedup", exact), ("near_duplicates", near), ("packing", pack)]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import PieceCache
+from .common import PieceCache, Recent
 
 
 @dataclass(frozen=True)
@@ -113,15 +113,24 @@ class Packer:
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits()) -> DataFrame:
+def byte_level_encoder(tokenizer_path: str, pattern: str, limit: int = 400_000):
+    """Text to ids (little-endian unsigned 32-bit bytes) by a byte-level tokenizer's own merge model, a pre-token at a time,
+    which takes half the time of whole calls and reads the special tokens' strings as ordinary text."""
+    import regex
+    from tokenizers import Tokenizer
+
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
+    letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    merge, find = Tokenizer.from_file(tokenizer_path).model.tokenize, regex.compile(pattern).findall
+    known = Recent(lambda match: array("I", [t.id for t in merge(match.encode().decode("latin-1").translate(letters))]).tobytes(), limit)
+    return lambda text: b"".join(map(known.__getitem__, find(text)))
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, limits: Limits = Limits()) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. All tokens bear loss."""
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        cache = PieceCache(lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+        cache = PieceCache(byte_level_encoder(tokenizer_path, pattern))
         end = end_id.to_bytes(4, "little")
         packer = Packer(limits, TaskContext.get().partitionId() << 33)
         open_docs: dict[int, list] = {}  # with tokens to place: id, ids, tokens left

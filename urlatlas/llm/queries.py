@@ -17,6 +17,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     awkward = "\\### Assistant: </turn> ok"
     turns = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -62,13 +68,11 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), pattern())
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return byte_bpe.encode_digest(documents(spark, sf_dir), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.encode_digest(documents(spark, sf_dir), tokenizer("byte_bpe_multi_50k.tiktoken"), pattern())
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,9 +81,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return language_model.score(documents(spark, sf_dir), crc_of_id() % 5 != 1, tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return language_model.score(documents(spark, sf_dir), crc_of_id() % 5 != 1, tokenizer("byte_bpe_50k.tiktoken"), pattern())
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
