@@ -34,7 +34,7 @@ BUCKET_WORDS = 4_000_000
 class SubwordIds(common.Recent):
     """Ids of a word (bytes without white space), as unsigned 16-bit bytes."""
 
-    def __init__(self, ranks_path: str, pattern: str, vocabulary: int, limit: int = 400_000):
+    def __init__(self, ranks_path: str, pattern: str, vocabulary: int, limit: int = 150_000):
         import tiktoken
 
         ranks = {k: v for k, v in read_ranks(ranks_path).items() if v < vocabulary}
