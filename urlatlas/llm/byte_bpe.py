@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a rank queue of hierarchical bitmaps.
 
-Every merge rank has a bucket with the places of linked-list nodes whose pair with the next node has that rank. Bitmaps in
-levels of 64 bits mark the ranks with places; find-first-set, level by level, gives the lowest. A place whose pair is no
-longer the one it was queued for is stale and skipped. A pre-token of n bytes takes O(n log n), however long it is.
+Every merge rank has a bucket with the places of linked-list nodes whose pair with the next node has that rank. A bitmap
+marks the ranks with places, and an upper bitmap the words of the lower one that have any; find-first-set in both gives the
+lowest rank. A place whose pair is no longer the one it was queued for is stale and skipped. A pre-token of n bytes takes O(n log n), however long it is.
 
 Cases: null or empty text has no ids; any text is encoded whole; ties of rank go left to right, as the usual library does;
 extra columns are not looked at; ids are independent of rows and partitions.
@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from heapq import heapify, heappop, heappush
+from array import array
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame
 
 from .common import PieceCache, Recent
 
-BITS = 64
+#: log2 of the bits in a word of the lower bitmap; the upper one is a single integer with a bit for each word.
+WORD = 8
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -28,73 +30,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class RankQueue:
-    """Buckets of places by rank, and bitmaps that say which ranks have any."""
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.levels, n = [], ranks
-        while True:
-            n = -(-n // BITS)
-            self.levels.append([0] * n)
-            if n == 1:
-                break
-        self.pop_order = self.levels[::-1]
-
-    def fill(self, places: dict[int, list[int]]) -> None:
-        """Places by rank, in ascending order."""
-        self.buckets = places
-        for rank in places:
-            self._mark(rank)
-
-    def _mark(self, rank: int) -> None:
-        for level in self.levels:
-            word = rank >> 6
-            was = level[word]
-            level[word] = was | 1 << (rank & 63)
-            if was:
-                return
-            rank = word
-
-    def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [place]
-            self._mark(rank)
-        else:
-            heappush(bucket, place)
-
-    def lowest(self) -> int:
-        """The lowest rank with places, or -1."""
-        at = 0
-        for level in self.pop_order:
-            word = level[at]
-            if not word:
-                return -1
-            at = at << 6 | (word & -word).bit_length() - 1
-        return at
-
-    def remove(self, rank: int) -> None:
-        del self.buckets[rank]
-        for level in self.levels:
-            word = rank >> 6
-            level[word] &= ~(1 << (rank & 63))
-            if level[word]:
-                return
-            rank = word
-
-
 class ByteBpe:
     """Encodes by merge ranks; `pattern` cuts a text into pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = 400_000):
         import regex
 
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.words = {k: v for v, k in ranks.items()}
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        self.low = [0] * ((max(ranks.values()) >> WORD) + 1)  # all zero between words
+        self.bit = [1 << k for k in range(max(1 << WORD, len(self.low)))]
         self.pieces = PieceCache(self._encode_matches, cached)
-        self.known = Recent(lambda match: np.array(self.merge(match.encode()), "<u4").tobytes(), cached)
+        self.known = Recent(lambda match: array("I", self.merge(match.encode())).tobytes(), cached)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -105,48 +52,65 @@ class ByteBpe:
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks, queue = self.ranks, self.queue
-        if word in ranks:
-            return [ranks[word]]
+        get, low, bit, mask = self.ranks.get, self.low, self.bit, (1 << WORD) - 1
+        whole = get(word)
+        if whole is not None:
+            return [whole]
         n = len(word)
-        end = list(range(1, n + 1))  # of the node that begins at a place; the next node begins there
-        back = list(range(-1, n))  # where the node before begins
-        pair = [ranks.get(word[i : i + 2], -1) for i in range(n - 1)] + [-1]  # rank with the next node
-        places: dict[int, list[int]] = {}
+        end, back = list(range(1, n + 2)), list(range(-1, n))  # of the node that begins at a place: the next one, the one before
+        pair = [get(word[i : i + 2], -1) for i in range(n - 1)]  # rank with the next node
+        pair.append(-1)
+        buckets: dict[int, list[int]] = {}
+        top = 0  # a bit for each word of `low` that has any
         for i, rank in enumerate(pair):
             if rank >= 0:
-                places.setdefault(rank, []).append(i)
-        queue.fill(places)
-        while (rank := queue.lowest()) >= 0:
-            bucket = queue.buckets[rank]
-            while bucket:
-                i = heappop(bucket)
-                if pair[i] != rank:  # stale
-                    continue
-                j = end[i]
-                end[i], pair[j] = end[j], -1
-                e = end[i]
-                if e < n:
-                    back[e] = i
-                    pair[i] = new = ranks.get(word[i : end[e]], -1)
-                    if new >= 0:
-                        queue.push(new, i)
+                if rank in buckets:
+                    buckets[rank].append(i)
                 else:
-                    pair[i] = -1
-                if i:
-                    h = back[i]
-                    pair[h] = new = ranks.get(word[h:e], -1)
-                    if new >= 0:
-                        queue.push(new, h)
-                if rank not in queue.buckets:
-                    break
-                if new >= 0 and queue.lowest() < rank:
-                    break
+                    buckets[rank] = [i]
+                    low[rank >> WORD] |= bit[rank & mask]
+                    top |= bit[rank >> WORD]
+        while top:
+            at = (top & -top).bit_length() - 1
+            bits = low[at]
+            rank = at << WORD | (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                low[at] = bits = bits & (bits - 1)
+                if not bits:
+                    top &= top - 1
+            if pair[i] != rank:  # stale
+                continue
+            j = end[i]
+            end[i] = e = end[j]
+            pair[j] = -1
+            if e < n:
+                back[e] = i
+                pair[i] = new = get(word[i : end[e]], -1)
+                if new >= 0:
+                    if new in buckets:
+                        heappush(buckets[new], i)
+                    else:
+                        buckets[new] = [i]
+                        low[new >> WORD] |= bit[new & mask]
+                        top |= bit[new >> WORD]
             else:
-                queue.remove(rank)
+                pair[i] = -1
+            if i:
+                h = back[i]
+                pair[h] = new = get(word[h:e], -1)
+                if new >= 0:
+                    if new in buckets:
+                        heappush(buckets[new], h)
+                    else:
+                        buckets[new] = [h]
+                        low[new >> WORD] |= bit[new & mask]
+                        top |= bit[new >> WORD]
         out, i = [], 0
         while i < n:
-            out.append(ranks[word[i : end[i]]])
+            out.append(self.ranks[word[i : end[i]]])
             i = end[i]
         return out
 
