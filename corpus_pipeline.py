@@ -25,13 +25,13 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without any language: no text, or no letter in it."""
-    found = language_id.identify(docs, crc_of_id() % 5 != 0)
-    return _without(docs, found.where(F.col("lang_pred") == language_id.UNDETERMINED))
+    found = language_id.identify(docs.select(*COLUMNS), crc_of_id() % 5 != 0, whole=True)
+    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select("row.*")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that are more likely toxic than not."""
-    return _without(docs, toxicity.grade_toxicity(docs, documents(spark, sf_dir, "labels")).where("toxic"))
+    return toxicity.grade_toxicity(docs.select(*COLUMNS), documents(spark, sf_dir, "labels"), whole=True).where("not toxic").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,6 +49,24 @@ def crc_of_id(column: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+def with_columns(docs: DataFrame, schema: str, compute, whole: bool) -> DataFrame:
+    """doc_id and what compute(texts) gives: a function made in the worker by compute(), from an Arrow array of texts to
+    arrays. With `whole`, all columns of a row as struct `row` instead of doc_id, so that no join has to bring them back."""
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    new = _parse_datatype_string(schema)
+    first = StructField("row", docs.schema) if whole else docs.schema["doc_id"]
+    names = [first.name, *new.names]
+
+    def run(batches):
+        of = compute()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(first.name), *of(b.column("row").field("text") if whole else b.column("text"))], names)
+
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if whole else docs.select("doc_id", "text")
+    return source.mapInArrow(run, StructType([first, *new.fields]))
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and where each row's begin (one more than rows). Null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -131,37 +131,40 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def predict(docs: DataFrame, filters: Filters, usual: str) -> DataFrame:
-    """doc_id, lang_pred, score of every row."""
+def predict(docs: DataFrame, filters: Filters, usual: str, whole: bool = False) -> DataFrame:
+    """doc_id (or, with `whole`, the struct `row` of all columns), lang_pred, score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
-    def run(batches):
+    def compute():
         filters = shared.value
         names = np.array([*filters.languages, usual, UNDETERMINED], object)
-        for b in batches:
-            texts = b.column("text")
+
+        def of(texts):
             data, starts = common.text_bytes(texts)
-            best, score = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            rows = len(starts) - 1
+            best, score, plain = np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows, bool)
             for lo, hi in common.chunks(starts):
                 if filters.languages:
                     shares = filters.shares(data, starts[lo : hi + 1])
                     best[lo:hi], score[lo:hi] = shares.argmax(axis=1), shares.max(axis=1)
+                part = data[int(starts[lo]) : int(starts[hi])]
+                letters = np.concatenate([[0], np.cumsum(~common.NOT_LETTER[part] & (part < 128))])
+                plain[lo:hi] = np.diff(letters[starts[lo : hi + 1] - starts[lo]]) > 0
             best[score <= 0] = len(names) - 2
-            # a letter of ASCII settles most texts at once
-            plain = np.concatenate([[0], np.cumsum(~common.NOT_LETTER[data[int(starts[0]) : int(starts[-1])]] & (data[int(starts[0]) : int(starts[-1])] < 128))])
-            sure = plain[starts[1:] - starts[0]] > plain[starts[:-1] - starts[0]]
-            for k in np.flatnonzero(~sure):
-                if not filters.languages or not has_letter(texts[int(k)].as_py()):
+            for k in np.flatnonzero(~plain):  # no letter of ASCII, which settles most texts at once
+                if not has_letter(texts[int(k)].as_py()):
                     best[k], score[k] = len(names) - 1, 0
             if not filters.languages:
                 best[:], score[:] = len(names) - 1, 0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names[best].tolist(), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            return pa.array(names[best].tolist(), pa.string()), pa.array(score)
+
+        return of
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return common.with_columns(docs, "lang_pred string, score double", compute, whole)
 
 
-def identify(docs: DataFrame, train: Column | None = None) -> DataFrame:
+def identify(docs: DataFrame, train: Column | None = None, whole: bool = False) -> DataFrame:
     """Learns from rows of docs(doc_id, text, lang) where `train` holds, then predicts all rows."""
     texts, languages = training_sample(docs, F.lit(True) if train is None else train)
     usual = max(sorted(set(languages)), key=languages.count, default=UNDETERMINED)
-    return predict(docs, fit(texts, languages), usual)
+    return predict(docs, fit(texts, languages), usual, whole)

@@ -113,23 +113,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, longest: in
     return [r["text"] for r in found], np.array([r["toxic"] > 0 for r in found], bool)
 
 
-def score(docs: DataFrame, model: Ordinal, limit: float = 0.5) -> DataFrame:
-    """doc_id, severity (expected grade, 0 to 2), p_toxic, grade (the most thresholds exceeded), toxic."""
+def score(docs: DataFrame, model: Ordinal, limit: float = 0.5, whole: bool = False) -> DataFrame:
+    """doc_id (or, with `whole`, the struct `row` of all columns), severity (expected grade, 0 to 2), p_toxic, grade (how
+    many thresholds are exceeded), toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def compute():
         model = shared.value
-        for b in batches:
-            data, starts = common.text_bytes(b.column("text"))
-            scores = np.zeros(b.num_rows)
+
+        def of(texts):
+            data, starts = common.text_bytes(texts)
+            scores = np.zeros(len(starts) - 1)
             for lo, hi in common.chunks(starts):
                 r, c, v = features(model.words, data, starts[lo : hi + 1])
                 scores[lo:hi] = np.bincount(r, v * model.weights[c], minlength=hi - lo)
             p = model.exceed(scores)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= limit).sum(axis=1), pa.int32()), pa.array(p[:, 0] >= limit)], ["doc_id", "severity", "p_toxic", "grade", "toxic"])
+            return pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= limit).sum(axis=1), pa.int32()), pa.array(p[:, 0] >= limit)
+
+        return of
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, severity double, p_toxic double, grade int, toxic boolean")
+    return common.with_columns(docs, "severity double, p_toxic double, grade int, toxic boolean", compute, whole)
 
 
-def grade_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFrame:
-    return score(docs, fit(*labelled_sample(docs, labels, sample)))
+def grade_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000, whole: bool = False) -> DataFrame:
+    return score(docs, fit(*labelled_sample(docs, labels, sample)), whole=whole)
