@@ -46,7 +46,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), pattern())
+    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), pattern(), remembered=120_000)
 
 
 STAGES = [("language_id", language), ("toxicity", toxic), ("exact_dedup", exact), ("near_duplicates", near), ("packing", pack)]

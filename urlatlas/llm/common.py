@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -49,6 +51,23 @@ def crc_of_id(column: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+def release() -> None:
+    """Gives free memory back to the system: Python workers live on from task to task, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """An Arrow map function that leaves no free memory behind."""
+
+    def tidied(batches):
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 def with_columns(docs: DataFrame, schema: str, compute, whole: bool) -> DataFrame:
     """doc_id and what compute(texts) gives: a function made in the worker by compute(), from an Arrow array of texts to
     arrays. With `whole`, all columns of a row as struct `row` instead of doc_id, so that no join has to bring them back."""
@@ -64,7 +83,7 @@ def with_columns(docs: DataFrame, schema: str, compute, whole: bool) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(first.name), *of(b.column("row").field("text") if whole else b.column("text"))], names)
 
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if whole else docs.select("doc_id", "text")
-    return source.mapInArrow(run, StructType([first, *new.fields]))
+    return source.mapInArrow(tidy(run), StructType([first, *new.fields]))
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +195,7 @@ class PieceCache:
     any single space between two non-empty pieces. `encode` turns any string into such bytes; space-led pieces are
     remembered."""
 
-    def __init__(self, encode, limit: int = 500_000):
+    def __init__(self, encode, limit: int = 400_000):
         self.encode, self.known = encode, Recent(lambda piece: encode(" " + piece), limit)
 
     def ids(self, text: str) -> bytes:

@@ -105,7 +105,7 @@ def train(docs: DataFrame, is_train: Column, subwords, vocabulary: int, sample:
         return pa.table({"slot": group.column("slot")[:1], "seen": pa.array([int(seen.sum())], pa.int64()), "weights": pa.array([mixed.astype(np.float32).tobytes()], pa.binary())})
 
     kind = "slot long, seen long, weights binary"
-    found = texts.mapInArrow(local, kind).withColumn("slot", F.pmod("slot", F.lit(16))).groupBy("slot").applyInArrow(mean, kind).collect()
+    found = texts.mapInArrow(common.tidy(local), kind).withColumn("slot", F.pmod("slot", F.lit(16))).groupBy("slot").applyInArrow(mean, kind).collect()
     if found:
         every = sum(r["seen"] for r in found)
         flat = sum(r["seen"] / every * np.frombuffer(r["weights"], np.float32).astype(np.float64) for r in found)
@@ -167,7 +167,7 @@ def score(docs: DataFrame, is_train: Column, ranks_path: str, pattern: str, voca
 
     kind = f"task long, number long, bucket long, names binary, counts binary, doc_id array<{id_type}>, held_out array<boolean>, n_tokens array<long>, score array<double>, places binary, times binary, each binary"
     path = f"{common.checkpoint_dir(spark)}/lm-{uuid.uuid4().hex}"
-    rows.mapInArrow(run, kind).write.option("compression", "zstd").parquet(path)  # both halves are read again
+    rows.mapInArrow(common.tidy(run), kind).write.option("compression", "zstd").parquet(path)  # both halves are read again
     done = spark.read.parquet(path)
 
     def count(group: pa.Table) -> pa.Table:

@@ -128,7 +128,7 @@ def shingle_classes(docs: DataFrame, width: int) -> DataFrame:
                 keys.append(_digest(h) if len(h) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "key", "n_shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, n_shingles long")
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, n_shingles long")
 
 
 def _frequency_code(counts: np.ndarray) -> np.ndarray:

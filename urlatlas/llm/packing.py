@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import PieceCache, Recent
+from .common import PieceCache, Recent, tidy
 
 
 @dataclass(frozen=True)
@@ -126,11 +126,12 @@ def byte_level_encoder(tokenizer_path: str, pattern: str, limit: int = 400_000):
     return lambda text: b"".join(map(known.__getitem__, find(text)))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, limits: Limits = Limits()) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. All tokens bear loss."""
+def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, limits: Limits = Limits(), remembered: int = 400_000) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. All tokens bear loss.
+    `remembered`: pieces and pre-tokens of which a worker keeps the ids, twice as many at most."""
 
     def run(batches):
-        cache = PieceCache(byte_level_encoder(tokenizer_path, pattern))
+        cache = PieceCache(byte_level_encoder(tokenizer_path, pattern, remembered), remembered)
         end = end_id.to_bytes(4, "little")
         packer = Packer(limits, TaskContext.get().partitionId() << 33)
         open_docs: dict[int, list] = {}  # with tokens to place: id, ids, tokens left
@@ -164,4 +165,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: i
         if kind is not None:
             yield batch(packer.finish(), kind)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECES}")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECES}")
