@@ -91,7 +91,7 @@ class Filters:
         return np.clip((hits - expected) / np.maximum(total[:, None] - expected, 1e-9), 0, 1) * (total > 0)[:, None]
 
 
-def fit(texts: list[str], languages: list[str], least_share: float = 0.02, slot_bits: int = 19) -> Filters:
+def fit(texts: list[str] | pa.ChunkedArray, languages: list[str], least_share: float = 0.02, slot_bits: int = 19) -> Filters:
     """`least_share`: of a language's texts that must contain an n-gram (two texts at least, if there are two)."""
     counts: dict[str, int] = {}
     for x in languages:
@@ -99,8 +99,8 @@ def fit(texts: list[str], languages: list[str], least_share: float = 0.02, slot_
     names = sorted(sorted(counts, key=lambda x: (-counts[x], x))[:64])
     out = Filters(names, np.zeros(1 << slot_bits, np.uint64), np.zeros(len(names)))
     for k, name in enumerate(names):
-        own = pa.array([t for t, x in zip(texts, languages, strict=True) if x == name], pa.large_string())
-        data, starts = common.text_bytes(own)
+        every = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
+        data, starts = common.text_bytes(every.filter(pa.array([x == name for x in languages], pa.bool_())))
         least = max(min(2, counts[name]), least_share * counts[name])
         for width in WIDTHS:
             found = [np.zeros(0, np.uint64)]
@@ -115,7 +115,7 @@ def fit(texts: list[str], languages: list[str], least_share: float = 0.02, slot_
     return out
 
 
-def training_sample(docs: DataFrame, train: Column, per_language: int = 1500, longest: int = 20_000) -> tuple[list[str], list[str]]:
+def training_sample(docs: DataFrame, train: Column, per_language: int = 1500, longest: int = 20_000) -> tuple[list[str] | pa.ChunkedArray, list[str]]:
     """Texts and languages of about `per_language` rows of each language, chosen by a hash of the id."""
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= longest)).select("doc_id", "text", "lang")
     counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()]
@@ -123,8 +123,8 @@ def training_sample(docs: DataFrame, train: Column, per_language: int = 1500, lo
         return [], []
     share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, per_language / n))])
     kept = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < 1_000_000 * F.coalesce(F.try_element_at(share, "lang"), F.lit(0.0)))
-    found = kept.select("text", "lang").collect()
-    return [r["text"] for r in found], [r["lang"] for r in found]
+    found = kept.select("text", "lang").toArrow()
+    return found.column("text"), found.column("lang").to_pylist()
 
 
 def has_letter(text: str | None) -> bool:
@@ -167,4 +167,6 @@ def identify(docs: DataFrame, train: Column | None = None, whole: bool = False)
     """Learns from rows of docs(doc_id, text, lang) where `train` holds, then predicts all rows."""
     texts, languages = training_sample(docs, F.lit(True) if train is None else train)
     usual = max(sorted(set(languages)), key=languages.count, default=UNDETERMINED)
-    return predict(docs, fit(texts, languages), usual, whole)
+    filters = fit(texts, languages)
+    common.release()
+    return predict(docs, filters, usual, whole)

@@ -50,10 +50,10 @@ def features(model_words: np.ndarray, data: np.ndarray, starts: np.ndarray) -> t
     return cell // len(model_words), cell % len(model_words), np.log1p(np.minimum(n, MOST))
 
 
-def fit(texts: list[str], toxic: np.ndarray, most_words: int = 2000, least_texts: int = 3, least_ratio: float = 15.0, steps: int = 400, l2: float = 1e-3) -> Ordinal:
+def fit(texts: list[str] | pa.ChunkedArray, toxic: np.ndarray, most_words: int = 2000, least_texts: int = 3, least_ratio: float = 15.0, steps: int = 400, l2: float = 1e-3) -> Ordinal:
     if not toxic.any() or toxic.all():
         return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.array([30.0, 31.0]))
-    data, starts = common.text_bytes(pa.array(texts, pa.large_string()))
+    data, starts = common.text_bytes(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
     seen, of = [], []
     for lo, hi in common.chunks(starts):
         words, before = common.word_hashes(data, starts[lo : hi + 1], common.NOT_LETTER)
@@ -103,14 +103,14 @@ def fit(texts: list[str], toxic: np.ndarray, most_words: int = 2000, least_texts
     return Ordinal(chosen, w, b)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, longest: int = 50_000) -> tuple[list[str], np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, longest: int = 50_000) -> tuple[pa.ChunkedArray, np.ndarray]:
     """Texts and labels of about `sample` rows of either kind, chosen by a hash of the id; the chosen ids are broadcast."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {bool(r["k"]): r["n"] for r in known.groupBy((F.col("toxic") > 0).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("toxic") > 0, min(1.0, sample / max(1, counts.get(True, 0)))).otherwise(min(1.0, sample / max(1, counts.get(False, 0))))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * share)
-    found = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= longest)).join(F.broadcast(chosen), "doc_id").select("text", "toxic").collect()
-    return [r["text"] for r in found], np.array([r["toxic"] > 0 for r in found], bool)
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= longest)).join(F.broadcast(chosen), "doc_id").select("text", "toxic").toArrow()
+    return found.column("text"), np.array(found.column("toxic").to_pylist(), np.int64) > 0
 
 
 def score(docs: DataFrame, model: Ordinal, limit: float = 0.5, whole: bool = False) -> DataFrame:
@@ -135,5 +135,7 @@ def score(docs: DataFrame, model: Ordinal, limit: float = 0.5, whole: bool = Fal
     return common.with_columns(docs, "severity double, p_toxic double, grade int, toxic boolean", compute, whole)
 
 
-def grade_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000, whole: bool = False) -> DataFrame:
-    return score(docs, fit(*labelled_sample(docs, labels, sample)), whole=whole)
+def grade_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000, whole: bool = False) -> DataFrame:
+    model = fit(*labelled_sample(docs, labels, sample))
+    common.release()
+    return score(docs, model, whole=whole)
