@@ -92,12 +92,6 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _safe(x: np.ndarray, most: float = 60.0) -> np.ndarray:
-    """exp in place, without taking each row's maximum off: learned logits stay far below `most`, which no one passes."""
-    np.minimum(x, np.float32(most), out=x)
-    return np.exp(x, out=x)
-
-
 class Scorer:
     """A model's parameters laid out for scoring: values carry a column of ones, so that one product gives sums too."""
 
@@ -111,16 +105,27 @@ class Scorer:
         self.ones = np.ones(CLASS, np.float32), np.ones(len(p["cb"]), np.float32)
 
     def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log of each target's probability, 0 where there is no target."""
+        """Natural log of each target's probability, 0 where there is no target. Usual logits need no shift before their
+        exponential; a block in which a sum leaves the safe range is done again with each row's maximum off."""
+        with np.errstate(all="ignore"):
+            out = self._block(inputs, targets, shift=False)
+        return out if out is not None else self._block(inputs, targets, shift=True)
+
+    def _block(self, inputs: np.ndarray, targets: np.ndarray, shift: bool) -> np.ndarray | None:
+        safe = lambda x: not len(x) or bool(x.min() > 1e-30 and x.max() < 1e30)
         p, fresh = self.p, inputs[:, CONTEXT:]
         a = np.matmul(self.q[fresh], p["k"][inputs].transpose(0, 2, 1))
         a += self.bias
-        mixed = np.matmul(_safe(a), self.v[inputs]).reshape(-1, VALUE + 1)
+        if shift:
+            a -= a.max(axis=2, keepdims=True)
+        mixed = np.matmul(np.exp(a, out=a), self.v[inputs]).reshape(-1, VALUE + 1)
         target = targets.ravel()
         place = np.where(target >= 0, self.m.place[target], 1 << 40)
         order = np.argsort(place, kind="stable")
         order = order[: int(np.count_nonzero(target >= 0))]
         place, mixed = place[order], mixed[order]
+        if not shift and not safe(mixed[:, VALUE]):
+            return None
         h = mixed[:, :VALUE] / mixed[:, VALUE:]
         h += self.r[fresh.ravel()[order]]
         np.maximum(h, 0, out=h)
@@ -128,15 +133,21 @@ class Scorer:
         n = np.arange(len(c))
         x = h @ p["cw"]
         x += p["cb"]
-        logp = np.minimum(x[n, c], np.float32(60))
-        whole = _safe(x) @ self.ones[1]
+        if shift:
+            x -= x.max(axis=1, keepdims=True)
+        logp = x[n, c]
+        whole = np.exp(x, out=x) @ self.ones[1]
         cuts = np.searchsorted(c, np.arange(len(p["mb"]) + 1))
         for k in np.flatnonzero(np.diff(cuts)):
             lo, hi = cuts[k], cuts[k + 1]
             y = h[lo:hi] @ p["mw"][k]
             y += p["mb"][k]
-            logp[lo:hi] += np.minimum(y[n[: hi - lo], member[lo:hi]], np.float32(60))
-            whole[lo:hi] *= _safe(y) @ self.ones[0]
+            if shift:
+                y -= y.max(axis=1, keepdims=True)
+            logp[lo:hi] += y[n[: hi - lo], member[lo:hi]]
+            whole[lo:hi] *= np.exp(y, out=y) @ self.ones[0]
+        if not shift and not safe(whole):
+            return None
         logp -= np.log(whole)
         out = np.zeros(len(target), np.float32)
         out[order] = logp

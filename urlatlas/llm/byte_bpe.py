@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import PieceCache, Recent, tidy
+from .common import PieceCache, Recent, small_batches, tidy
 
 #: log2 of the bits in a word of the lower bitmap; the upper one is a single integer with a bit for each word.
 WORD = 8
@@ -129,7 +129,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
                 ids = [bpe.encode(x.as_py() or "") for x in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
 
 
 def encode_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -147,4 +147,4 @@ def encode_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 backs.append(sha(bpe.decode(ids)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests), pa.array(backs)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -58,6 +58,14 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """Lets at most so many rows go to a Python worker at once: texts are long, and a batch lies in both processes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, rows)
+    return df
+
+
 def tidy(run):
     """An Arrow map function that leaves no free memory behind."""
 
@@ -83,7 +91,7 @@ def with_columns(docs: DataFrame, schema: str, compute, whole: bool) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(first.name), *of(b.column("row").field("text") if whole else b.column("text"))], names)
 
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if whole else docs.select("doc_id", "text")
-    return source.mapInArrow(tidy(run), StructType([first, *new.fields]))
+    return small_batches(source).mapInArrow(tidy(run), StructType([first, *new.fields]))
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

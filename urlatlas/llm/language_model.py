@@ -81,6 +81,7 @@ def train(docs: DataFrame, is_train: Column, subwords, vocabulary: int, sample:
     rng = np.random.default_rng(seed)
     total = int(attention.window_counts(starts)[-1])
     if total:
+        steps = min(steps, max(50, 40 * total // block))  # a small corpus is not learned by heart
         trainer = attention.Trainer(model, 2e-2, steps)
         for _ in range(steps):
             trainer.train(*attention.windows(ids, starts, model.pad, rng.integers(0, total, block))[:2])
@@ -138,7 +139,7 @@ def score(docs: DataFrame, is_train: Column, ranks_path: str, pattern: str, voca
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     subwords = lambda: SubwordIds(ranks_path, pattern, vocabulary)
-    rows = docs.select("doc_id", "text", is_train.alias("train"))
+    rows = common.small_batches(docs.select("doc_id", "text", is_train.alias("train")))
     model = spark.sparkContext.broadcast(train(rows, F.col("train"), subwords, vocabulary))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, total // (6 * BUCKET_WORDS) + 1)

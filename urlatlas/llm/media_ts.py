@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches, tidy
+
 PACKET = 188
 SYNC = 0x47
 MAP_PID, DATA_PID, PROGRAM = 0x1000, 0x100, 1
@@ -214,7 +216,7 @@ def media_column(docs: DataFrame) -> DataFrame:
                 units = [[{"time": t, "random_access": r, "bytes": u} for s in demux(m).streams for t, r, u in zip(s.times, s.random_access, s.units, strict=True)] for m in media]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(media, pa.binary()), pa.array(units, kind)], ["doc_id", "media", "units"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary, units array<struct<time: long, random_access: boolean, bytes: binary>>")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary, units array<struct<time: long, random_access: boolean, bytes: binary>>")
 
 
 DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -237,4 +239,4 @@ def media_digest(docs: DataFrame) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {DIGEST}")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {DIGEST}")

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Shingles that one batch of texts, and one bucket of hashes, hold on average.
-BATCH_SHINGLES = 1_000_000
-BUCKET_SHINGLES = 2_000_000
+BATCH_SHINGLES = 500_000
+BUCKET_SHINGLES = 1_000_000
 
 
 def _needed(n: int, percent: int) -> int:
@@ -128,7 +128,7 @@ def shingle_classes(docs: DataFrame, width: int) -> DataFrame:
                 keys.append(_digest(h) if len(h) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "key", "n_shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(common.tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, n_shingles long")
+    return common.small_batches(docs.select("doc_id", "text")).mapInArrow(common.tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, n_shingles long")
 
 
 def _frequency_code(counts: np.ndarray) -> np.ndarray:
@@ -158,6 +158,7 @@ def shared_shingles(texts: DataFrame, batches: int, buckets: int, width: int) ->
                 rows = np.concatenate([low[lo:hi][~many], low[lo:hi][many]])
                 out.append((int(bucket[lo]), rows.tobytes(), n[lo:hi][many].tobytes()))
         batch = group.column("batch")[0].as_py() if group.num_rows else 0
+        common.release()
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "batch": pa.array([batch] * len(out), pa.int64()), "low": pa.array([x[1] for x in out], pa.binary()), "many": pa.array([x[2] for x in out], pa.binary())})
 
     def count(group: pa.Table) -> pa.Table:
@@ -180,6 +181,7 @@ def shared_shingles(texts: DataFrame, batches: int, buckets: int, width: int) ->
             code = codes[lo : lo + len(low)]
             lo += len(low)
             out.append((low[code > 0].tobytes(), code[code > 0].tobytes()))
+        common.release()
         return pa.table({"batch": group.column("batch").combine_chunks(), "bucket": group.column("bucket").combine_chunks(), "low": pa.array([x[0] for x in out], pa.binary()), "code": pa.array([x[1] for x in out], pa.binary())})
 
     sent = texts.groupBy("batch").applyInArrow(send, "bucket long, batch long, low binary, many binary")
@@ -214,6 +216,7 @@ def ordered_sets(texts: DataFrame, shared: DataFrame, buckets: int, width: int,
                 if key not in done:
                     done.add(key)
                     out.append((key, len(h), h2[order].tobytes(), code[order].tobytes(), h2[order][:prefix].view(np.int64).tolist()))
+        common.release()
         return pa.Table.from_pylist([dict(zip(names.names, x, strict=True)) for x in out], names)
 
     return texts.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(run, "key binary, n long, shingles binary, codes binary, probes array<long>")
@@ -233,6 +236,8 @@ def tree_join(members: DataFrame, percent: int, sides: bool) -> DataFrame:
         sets = [rank[np.searchsorted(names, h)] for h in hashes]
         label = np.unique(np.array([x.hex() for x in group.column("label").to_pylist()]), return_inverse=True)[1]
         side = np.array(group.column("side").to_pylist()) if sides else None
+        if len(keys) > 200:
+            common.release()
         links = tree_links(sets, np.array(group.column("n").to_pylist(), np.int64), percent, label, side)
         return pa.table({"a": pa.array([keys[i] for i, _ in links], pa.binary()), "b": pa.array([keys[j] for _, j in links], pa.binary())})
 

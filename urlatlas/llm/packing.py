@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import PieceCache, Recent, tidy
+from .common import PieceCache, Recent, small_batches, tidy
 
 
 @dataclass(frozen=True)
@@ -165,4 +165,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: i
         if kind is not None:
             yield batch(packer.finish(), kind)
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECES}")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECES}")
