@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 from collections.abc import Iterator
 
@@ -42,8 +43,13 @@ def checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/urlatlas-checkpoin
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read from there; shuffle files that nothing needs any more can go at once, which
+    Spark's cleaner only sees when the driver collects its garbage."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def crc_of_id(column: str = "doc_id") -> F.Column:

@@ -1,8 +1,8 @@
 """N-gram Jaccard join: which texts share enough of their word shingles, and the groups that such links make.
 
 1. Texts with the same set of shingles become one class (copies are never compared with each other).
-2. Shingle frequencies over all classes give a global order, rare first. Batches of texts send their distinct shingles,
-   packed by hash bucket, and get back those that another class has too. A shingle that nothing shares only counts in
+2. Shingle frequencies give a global order, rare first. Batches of texts, each class once, send their distinct shingles,
+   packed by hash bucket, and get back those that another text has too. A shingle that nothing shares only counts in
    the size of its set.
 3. Two sets that reach the threshold share one of their first `n - ceil(t*n) + 1` shingles. Classes that share such a
    shingle form a group; groups with the same members count once.
@@ -145,10 +145,10 @@ def shared_shingles(texts: DataFrame, batches: int, buckets: int, width: int) ->
     within its bucket, and the frequency's code. Within a batch, a shingle's occurrences are added up before they go."""
 
     def send(group: pa.Table) -> pa.Table:
-        found = [h for _, h in _shingles(group.column("text").combine_chunks(), width) if len(h)]
+        found = {_digest(h): h for _, h in _shingles(group.column("text").combine_chunks(), width) if len(h)}
         out = []
         if found:
-            h, n = np.unique(np.concatenate(found), return_counts=True)
+            h, n = np.unique(np.concatenate(list(found.values())), return_counts=True)
             bucket, low = _split_hash(h, buckets)
             order = np.argsort(bucket, kind="stable")
             bucket, low, n = bucket[order], low[order], n[order].astype(np.uint32)
@@ -264,11 +264,11 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: in
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     rows = common.cut_lineage(shingle_classes(docs, width))
-    reps = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    total = reps.agg(F.sum("n")).first()[0] or 0
+    reps = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     batches, buckets = max(1, -(-total // BATCH_SHINGLES)), max(1, -(-total // BUCKET_SHINGLES))
-    named = docs.select("doc_id", "text").join(reps.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = named.unionByName(docs.select("doc_id", "text").where("doc_id is null")).withColumn("batch", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(batches))).select("batch", "text")
+    # copies stay in: a batch counts a class once, and a shingle that only copies share leads to no group
+    texts = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"), "text")
     sets = common.cut_lineage(ordered_sets(texts, shared_shingles(texts, batches, buckets, width), buckets, width, percent).dropDuplicates(["key"]))
 
     probes = sets.select("key", F.explode("probes").alias("probe"))
