@@ -5,7 +5,8 @@
    packed by hash bucket, and get back those that another text has too. A shingle that nothing shares only counts in
    the size of its set.
 3. Two sets that reach the threshold share one of their first `n - ceil(t*n) + 1` shingles. Classes that share such a
-   shingle form a group; groups with the same members count once.
+   shingle form a group. A group all of whose members share an earlier shingle too lies within that one's group and is
+   left out; groups with the same members count once.
 4. In a group the ordered sets are stored in a prefix tree. Each set walks it once: a node's shingles are compared once
    for all sets below it, overlaps add up on the way, and a subtree is left when even all that remains on both sides is
    too little for any of its lengths, or when all of it is linked to the walker already.
@@ -189,11 +190,11 @@ def shared_shingles(texts: DataFrame, batches: int, buckets: int, width: int) ->
 
 
 def ordered_sets(texts: DataFrame, shared: DataFrame, buckets: int, width: int, percent: int) -> DataFrame:
-    """key, n, shingles (shared ones in the global order, as 8-byte ints), codes, probes (those of the prefix), for
-    the texts whose prefix holds a shared shingle."""
+    """key, n, shingles (shared ones in the global order, as 8-byte ints), codes, probes (those of the prefix), runs
+    (where each probe's frequency begins), for the texts whose prefix holds a shared shingle."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("shingles", pa.binary()), ("codes", pa.binary()), ("probes", pa.list_(pa.int64()))])
+        names = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("shingles", pa.binary()), ("codes", pa.binary()), ("probes", pa.list_(pa.int64())), ("runs", pa.list_(pa.int32()))])
         known = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
         if right.num_rows:
             lows = [np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(b << 32) for x, b in zip(right.column("low").to_pylist(), right.column("bucket").to_pylist(), strict=True)]
@@ -215,11 +216,11 @@ def ordered_sets(texts: DataFrame, shared: DataFrame, buckets: int, width: int,
                 key = _digest(h)
                 if key not in done:
                     done.add(key)
-                    out.append((key, len(h), h2[order].tobytes(), code[order].tobytes(), h2[order][:prefix].view(np.int64).tolist()))
+                    out.append((key, len(h), h2[order].tobytes(), code[order].tobytes(), h2[order][:prefix].view(np.int64).tolist(), np.searchsorted(code[order], code[order][:prefix]).tolist()))
         common.release()
         return pa.Table.from_pylist([dict(zip(names.names, x, strict=True)) for x in out], names)
 
-    return texts.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(run, "key binary, n long, shingles binary, codes binary, probes array<long>")
+    return texts.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(run, "key binary, n long, shingles binary, codes binary, probes array<long>, runs array<int>")
 
 
 def tree_join(members: DataFrame, percent: int, sides: bool) -> DataFrame:
@@ -271,10 +272,13 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: in
     texts = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"), "text")
     sets = common.cut_lineage(ordered_sets(texts, shared_shingles(texts, batches, buckets, width), buckets, width, percent).dropDuplicates(["key"]))
 
-    probes = sets.select("key", F.explode("probes").alias("probe"))
-    groups = probes.groupBy("probe").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(7))).alias("y")).where("size > 1")
+    # an earlier shingle of each probe's set: the one before it, the set's first, the first of the same frequency
+    earlier = lambda p, at: F.nullif(F.get("probes", at), p)
+    probes = sets.select("key", F.explode(F.transform("probes", lambda p, i: F.struct(p.alias("probe"), earlier(p, i - 1).alias("e0"), earlier(p, F.lit(0)).alias("e1"), earlier(p, F.get("runs", i)).alias("e2")))).alias("p")).select("key", "p.*")
+    within = [F.coalesce((F.min(e) == F.max(e)) & (F.count(e) == F.count(F.lit(1))), F.lit(False)) for e in ("e0", "e1", "e2")]
+    groups = probes.groupBy("probe").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(7))).alias("y"), (within[0] | within[1] | within[2]).alias("within")).where("size > 1 and not within")
     groups = groups.groupBy("size", "x", "y").agg(F.min("probe").alias("probe")).select("probe", "size")
-    member = common.cut_lineage(probes.join(groups, "probe").select("probe", "size", "key"))
+    member = common.cut_lineage(probes.select("probe", "key").join(groups, "probe").select("probe", "size", "key"))
     small = member.where(F.col("size") <= block).select(F.struct("probe", F.lit(0).alias("i"), F.lit(0).alias("j")).alias("cell"), "key")
     ways = F.ceil(F.col("size") / F.lit(block // 2)).cast("int")
 
