@@ -43,12 +43,19 @@ def checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/urlatlas-checkpoin
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read from there; shuffle files that nothing needs any more can go at once, which
-    Spark's cleaner only sees when the driver collects its garbage."""
+    """Written to the shared folder and read from there. Shuffle files of its making go when it is written: nothing needs
+    them any more. Spark's own cleaner would only see that when the driver collects its garbage."""
     checkpoint_dir(df.sparkSession)
-    out = df.checkpoint()
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        out = df.select("*").checkpoint()
+    finally:
+        conf.set(key, before)
+    del df
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    out.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
