@@ -1,8 +1,8 @@
 """N-gram Jaccard join: which texts share enough of their word shingles, and the groups that such links make.
 
 1. Texts with the same set of shingles become one class (copies are never compared with each other).
-2. Shingle frequencies give a global order, rare first. Batches of texts, each class once, send their distinct shingles,
-   packed by hash bucket, and get back those that another text has too. A shingle that nothing shares only counts in
+2. Shingle frequencies give a global order, rare first. Batches of texts send the distinct shingles of their classes,
+   packed by hash bucket, each class from one batch only, and get back those that another class has too. A shingle that nothing shares only counts in
    the size of its set.
 3. Two sets that reach the threshold share one of their first `n - ceil(t*n) + 1` shingles. Classes that share such a
    shingle form a group. A group all of whose members share an earlier shingle too lies within that one's group and is
@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,11 @@ BATCH_SHINGLES = 1_000_000
 BUCKET_SHINGLES = 2_000_000
 
 
+def _row_hash() -> F.Column:
+    """Spreads rows over batches; equal for repeated rows only."""
+    return F.xxhash64("doc_id", "text")
+
+
 def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
@@ -119,7 +125,7 @@ def _shingles(texts: pa.Array, width: int):
 
 
 def shingle_classes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, key (of the set; null if empty), n_shingles."""
+    """doc_id, row_hash, key (of the set; null if empty), n_shingles."""
 
     def run(batches):
         for b in batches:
@@ -127,9 +133,9 @@ def shingle_classes(docs: DataFrame, width: int) -> DataFrame:
             for _, h in _shingles(b.column("text"), width):
                 sizes.append(len(h))
                 keys.append(_digest(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "key", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_hash"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "row_hash", "key", "n_shingles"])
 
-    return common.small_batches(docs.select("doc_id", "text")).mapInArrow(common.tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, n_shingles long")
+    return common.small_batches(docs.select("doc_id", "text", _row_hash().alias("row_hash"))).mapInArrow(common.tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_hash long, key binary, n_shingles long")
 
 
 def _frequency_code(counts: np.ndarray) -> np.ndarray:
@@ -141,12 +147,18 @@ def _split_hash(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), h.astype(np.uint32)
 
 
-def shared_shingles(texts: DataFrame, batches: int, buckets: int, width: int) -> DataFrame:
-    """(batch, codes) of the distinct shingles of each batch of texts that another text has as well: 32 bits of the hash
+def _owned(texts: pa.Array, owned: pa.Array, width: int) -> dict[bytes, np.ndarray]:
+    """Each class that this batch sends, once, and its set of shingle hashes."""
+    keys = set(owned.to_pylist())
+    return {k: h for _, h in _shingles(texts, width) if len(h) and (k := _digest(h)) in keys}
+
+
+def shared_shingles(texts: DataFrame, owners: DataFrame, buckets: int, width: int) -> DataFrame:
+    """(batch, codes) of the distinct shingles of each batch's classes that another class has as well: 32 bits of the hash
     within its bucket, and the frequency's code. Within a batch, a shingle's occurrences are added up before they go."""
 
-    def send(group: pa.Table) -> pa.Table:
-        found = {_digest(h): h for _, h in _shingles(group.column("text").combine_chunks(), width) if len(h)}
+    def send(group: pa.Table, classes: pa.Table) -> pa.Table:
+        found = _owned(group.column("text").combine_chunks(), classes.column("key").combine_chunks(), width)
         out = []
         if found:
             h, n = np.unique(np.concatenate(list(found.values())), return_counts=True)
@@ -185,25 +197,27 @@ def shared_shingles(texts: DataFrame, batches: int, buckets: int, width: int) ->
         common.release()
         return pa.table({"batch": group.column("batch").combine_chunks(), "bucket": group.column("bucket").combine_chunks(), "low": pa.array([x[0] for x in out], pa.binary()), "code": pa.array([x[1] for x in out], pa.binary())})
 
-    sent = texts.groupBy("batch").applyInArrow(send, "bucket long, batch long, low binary, many binary")
+    sent = texts.groupBy("batch").cogroup(owners.groupBy("batch")).applyInArrow(send, "bucket long, batch long, low binary, many binary")
     return sent.groupBy("bucket").applyInArrow(count, "batch long, bucket long, low binary, code binary").where(F.length("low") > 0)
 
 
-def ordered_sets(texts: DataFrame, shared: DataFrame, buckets: int, width: int, percent: int) -> DataFrame:
+def ordered_sets(texts: DataFrame, owners: DataFrame, shared: DataFrame, buckets: int, width: int, percent: int) -> DataFrame:
     """key, n, shingles (shared ones in the global order, as 8-byte ints), codes, probes (those of the prefix), runs
-    (where each probe's frequency begins), for the texts whose prefix holds a shared shingle."""
+    (where each probe's frequency begins), for the classes whose prefix holds a shared shingle, each in one batch."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("shingles", pa.binary()), ("codes", pa.binary()), ("probes", pa.list_(pa.int64())), ("runs", pa.list_(pa.int32()))])
         known = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        is_class = pc.is_null(right.column("bucket"))
+        classes, right = right.filter(is_class).column("low").combine_chunks(), right.filter(pc.invert(is_class))
         if right.num_rows:
             lows = [np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(b << 32) for x, b in zip(right.column("low").to_pylist(), right.column("bucket").to_pylist(), strict=True)]
             ids, codes = np.concatenate(lows), np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8)
             order = np.argsort(ids, kind="stable")
             known = ids[order], codes[order]
-        out, done = [], set()
+        out = []
         if left.num_rows and len(known[0]):
-            for _, h in _shingles(left.column("text").combine_chunks(), width):
+            for key, h in _owned(left.column("text").combine_chunks(), classes, width).items():
                 bucket, low = _split_hash(h, buckets)
                 ids = (bucket.astype(np.uint64) << np.uint64(32)) | low
                 at = np.minimum(np.searchsorted(known[0], ids), len(known[0]) - 1)
@@ -213,13 +227,11 @@ def ordered_sets(texts: DataFrame, shared: DataFrame, buckets: int, width: int,
                     continue
                 code, h2 = known[1][at][has], h[has]
                 order = np.lexsort((h2, code))
-                key = _digest(h)
-                if key not in done:
-                    done.add(key)
-                    out.append((key, len(h), h2[order].tobytes(), code[order].tobytes(), h2[order][:prefix].view(np.int64).tolist(), np.searchsorted(code[order], code[order][:prefix]).tolist()))
+                out.append((key, len(h), h2[order].tobytes(), code[order].tobytes(), h2[order][:prefix].view(np.int64).tolist(), np.searchsorted(code[order], code[order][:prefix]).tolist()))
         common.release()
         return pa.Table.from_pylist([dict(zip(names.names, x, strict=True)) for x in out], names)
 
+    shared = shared.unionByName(owners.select("batch", F.lit(None).cast("long").alias("bucket"), F.col("key").alias("low"), F.lit(None).cast("binary").alias("code")))
     return texts.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(run, "key binary, n long, shingles binary, codes binary, probes array<long>, runs array<int>")
 
 
@@ -265,12 +277,13 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: in
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     rows = common.cut_lineage(shingle_classes(docs, width))
-    reps = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    reps = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("row_hash").alias("row_hash"))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     batches, buckets = max(1, -(-total // BATCH_SHINGLES)), max(1, -(-total // BUCKET_SHINGLES))
-    # copies stay in: a batch counts a class once, and a shingle that only copies share leads to no group
-    texts = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"), "text")
-    sets = common.cut_lineage(ordered_sets(texts, shared_shingles(texts, batches, buckets, width), buckets, width, percent).dropDuplicates(["key"]))
+    # a class is sent by one batch alone: that of its row with the smallest hash
+    batch = lambda h: F.pmod(h, F.lit(batches)).alias("batch")
+    texts, owners = docs.select(batch(_row_hash()), "text"), reps.select(batch(F.col("row_hash")), "key")
+    sets = common.cut_lineage(ordered_sets(texts, owners, shared_shingles(texts, owners, buckets, width), buckets, width, percent))
 
     # an earlier shingle of each probe's set: the one before it, the set's first, the first of the same frequency
     earlier = lambda p, at: F.nullif(F.get("probes", at), p)
