@@ -231,3 +231,15 @@ def test_lm_base(spark, odd, none):
     want = sorted((str(i), len(ws), sum(c[w] > 0 for w in ws), round(sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 6)) for i, ws in words)
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in rows) == want
     assert all(np.isfinite(r["score"]) and r["score"] < 0 and r["train_tokens"] == n for r in rows) and few(none).count() == 0
+
+
+def test_lm_trains_on_every_text(spark):
+    from pyspark.sql import functions as F
+
+    texts = [f"short text number {k}" for k in range(200)]  # all over `longest`: the bounded sample has none
+    subwords = lambda: language_model.SubwordIds(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 512)
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    ids, starts = subwords().texts([t.encode() for t in texts])
+    score = lambda m: attention.score_texts(attention.Scorer(m), ids, starts).mean()
+    first = attention.start(np.zeros(513), 11)
+    assert score(language_model.train(rows, F.lit(True), subwords, 512, longest=5)) > score(first) + 0.01

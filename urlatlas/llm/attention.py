@@ -166,6 +166,14 @@ def score_texts(scorer: Scorer, ids: np.ndarray, starts: np.ndarray, block: int
     return out / np.log(10)
 
 
+def _add_rows(slope: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each row to the slope of its id; rows of an id are summed together."""
+    order = np.argsort(ids.astype(np.uint16) if len(slope) <= 1 << 16 else ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.diff(ids, prepend=-1))
+    slope[ids[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
 def gradients(m: Model, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss of the targets and its slopes."""
     p, fresh = m.p, inputs[:, CONTEXT:]
@@ -184,27 +192,32 @@ def gradients(m: Model, inputs: np.ndarray, targets: np.ndarray) -> tuple[float,
     g["cw"], g["cb"] = hu.T @ d, d.sum(axis=0)
     dh = d @ p["cw"].T
     cuts = np.flatnonzero(np.diff(c, prepend=-1, append=len(p["mb"])))
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        k_ = c[lo]
-        y = _log_softmax(hu[lo:hi] @ p["mw"][k_] + p["mb"][k_])
-        loss -= y[np.arange(hi - lo), place[lo:hi] % CLASS].sum()
-        d = np.exp(y)
-        d[np.arange(hi - lo), place[lo:hi] % CLASS] -= 1
-        g["mw"][k_], g["mb"][k_] = hu[lo:hi].T @ d, d.sum(axis=0)
-        dh[lo:hi] += d @ p["mw"][k_].T
+    runs = [(c[lo], lo, hi) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    y = p["mb"][c]
+    for k_, lo, hi in runs:
+        y[lo:hi] += hu[lo:hi] @ p["mw"][k_]
+    y = _log_softmax(y)
+    loss -= y[np.arange(len(c)), place % CLASS].sum()
+    d = np.exp(y)
+    d[np.arange(len(c)), place % CLASS] -= 1
+    for k_, lo, hi in runs:
+        g["mw"][k_] = hu[lo:hi].T @ d[lo:hi]
+        dh[lo:hi] += d[lo:hi] @ p["mw"][k_].T
+    if runs:
+        g["mb"][c[cuts[:-1]]] = np.add.reduceat(d, cuts[:-1], axis=0)
     dz = np.zeros_like(h)
     dz[use] = dh
     dz *= h > 0
     g["rb"] = dz.sum(axis=0)
     dz = dz.reshape(h4.shape)
-    np.add.at(g["r"], fresh.ravel(), dz.reshape(-1, VALUE))
-    np.add.at(g["v"], inputs.ravel(), np.matmul(a.transpose(0, 2, 1), dz).reshape(-1, VALUE))
+    _add_rows(g["r"], fresh.ravel(), dz.reshape(-1, VALUE))
+    _add_rows(g["v"], inputs.ravel(), np.matmul(a.transpose(0, 2, 1), dz).reshape(-1, VALUE))
     da = np.matmul(dz, v.transpose(0, 2, 1))
     ds = a * (da - (da * a).sum(axis=2, keepdims=True))
     np.add.at(g["near"], _DISTANCE.ravel(), ds.sum(axis=0).ravel())
     ds *= np.float32(KEY**-0.5)
-    np.add.at(g["q"], fresh.ravel(), np.matmul(ds, k).reshape(-1, KEY))
-    np.add.at(g["k"], inputs.ravel(), np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, KEY))
+    _add_rows(g["q"], fresh.ravel(), np.matmul(ds, k).reshape(-1, KEY))
+    _add_rows(g["k"], inputs.ravel(), np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, KEY))
     return float(loss) / n, {x: y / n for x, y in g.items()}
 
 

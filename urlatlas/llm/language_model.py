@@ -2,8 +2,8 @@
 
 Text is lower-cased (A-Z) and cut at white space; a word is written as a space and its letters in the first `vocabulary`
 ranks of a given byte-level BPE, and one more id ends a text. The model starts from `steps` steps on a bounded sample; then
-every partition of the training texts goes on with every `stride`-th run of words of each of its texts, and the parameters
-are averaged by the number of ids seen, so that what is learned follows the corpus.
+every partition of the training texts goes on with every window of each of its texts, and the parameters are averaged by
+the number of ids seen, so that what is learned follows the corpus.
 
 Word counts for the base cover all training texts: batches of texts send their distinct words with counts by hash bucket
 and get the totals back; which words a text has stays with its batch. Nothing is broadcast but the model.
@@ -49,17 +49,6 @@ class SubwordIds(common.Recent):
     def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return self._joined([self.end + b"".join(map(self.__getitem__, t.lower().split())) + self.end for t in texts])
 
-    def runs(self, texts: list[bytes], length: int, stride: int, rng) -> tuple[np.ndarray, np.ndarray]:
-        """Every `stride`-th run of `length` words of each text, from a random one on; each begins with an id that it doesn't
-        ask for."""
-        parts = []
-        for text, first in zip(texts, (rng.integers(stride, size=len(texts)) * length).tolist(), strict=True):
-            words = text.lower().split()
-            for lo in range(first, len(words) + 1, stride * length):
-                part = b"".join(map(self.__getitem__, words[lo : lo + length]))
-                parts.append((b"" if lo else self.end) + part + (self.end if lo + length > len(words) else b""))
-        return self._joined([x for x in parts if len(x) > 2])
-
 
 def _slices(batches):
     """Parts of the batches of about BATCH_BYTES of text, with their texts as bytes."""
@@ -70,7 +59,7 @@ def _slices(batches):
             yield b.slice(lo, hi - lo), data, starts[lo : hi + 1], [whole[i:j] for i, j in zip(starts[lo:hi].tolist(), starts[lo + 1 : hi + 1].tolist(), strict=True)]
 
 
-def train(docs: DataFrame, is_train: Column, subwords, vocabulary: int, sample: int = 1200, longest: int = 20_000, steps: int = 4000, run: int = 24, stride: int = 20, block: int = 128, seed: int = 11) -> attention.Model:
+def train(docs: DataFrame, is_train: Column, subwords, vocabulary: int, sample: int = 1200, longest: int = 20_000, steps: int = 4000, block: int = 128, seed: int = 11) -> attention.Model:
     """`subwords`: makes a SubwordIds. `sample`: texts of the bounded first training, none over `longest` bytes;
     it takes `steps` steps of `block` windows."""
     texts = docs.where(is_train).select("text")
@@ -91,10 +80,11 @@ def train(docs: DataFrame, is_train: Column, subwords, vocabulary: int, sample:
         words, own = subwords(), attention.Model(shared.value.place, {k: v.copy() for k, v in shared.value.p.items()})
         rng, trainer, seen = np.random.default_rng(seed), attention.Trainer(own, 2e-3, 400), 0
         for _, _, _, texts in _slices(batches):
-            ids, starts = words.runs(texts, run, stride, rng)
-            chosen = rng.permutation(int(attention.window_counts(starts)[-1]))
-            for lo in range(0, len(chosen) - block // 2, block):
-                inputs, targets, _ = attention.windows(ids, starts, own.pad, chosen[lo : lo + block])
+            ids, starts = words.texts(texts)
+            before = attention.window_counts(starts)
+            chosen = rng.permutation(int(before[-1]))
+            for lo in range(0, len(chosen), block):
+                inputs, targets, _ = attention.windows(ids, starts, own.pad, chosen[lo : lo + block], before)
                 trainer.train(inputs, targets)
                 seen += int((targets >= 0).sum())
         if seen:
