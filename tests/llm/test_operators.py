@@ -243,3 +243,24 @@ def test_lm_trains_on_every_text(spark):
     score = lambda m: attention.score_texts(attention.Scorer(m), ids, starts).mean()
     first = attention.start(np.zeros(513), 11)
     assert score(language_model.train(rows, F.lit(True), subwords, 512, longest=5)) > score(first) + 0.01
+
+
+SPACES = ["a \u00a0 \u00a0 c", *["a" + " \u00a0" * k + " c" for k in (1, 4, 8)], "a\u00a0 c", "\u00a0 c", " \u00a0 ", "a\t \n b", "\n \n x", "a \t b \r\n ", " \u3000 \u2028 y", "a\x1c \x1c b", "  a  b  ", " ", ""]
+
+
+def test_white_space_around_single_spaces(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    texts = SPACES + ["".join(rng.choice(" \u00a0\t\n\x85\x1fab1'") for _ in range(rng.randint(1, 40))) for _ in range(2000)]
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    ids = [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4") for t in texts]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), P.path("byte_bpe_50k.json"), P.PATTERN).collect()
+    assert {r["doc_id"] for r in rows} == set(range(len(texts)))
+    for r in rows:
+        own = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes())
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    want, own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), byte_bpe.ByteBpe(ranks, P.PATTERN, 100)
+    assert all(np.frombuffer(own.encode(t), "<u4").tolist() == want.encode_ordinary(t) for t in texts)
