@@ -24,9 +24,9 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without any language: no text, or no letter in it."""
+    """Rejects documents without any language: no text, or no letter in it. Whether anything was learned doesn't matter."""
     found = language_id.identify(docs.select(*COLUMNS), crc_of_id() % 5 != 0, whole=True)
-    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select("row.*")
+    return found.where("lettered").select("row.*")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -264,3 +264,9 @@ def test_white_space_around_single_spaces(spark):
     ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     want, own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), byte_bpe.ByteBpe(ranks, P.PATTERN, 100)
     assert all(np.frombuffer(own.encode(t), "<u4").tolist() == want.encode_ordinary(t) for t in texts)
+
+
+def test_language_id_of_long_texts(spark):
+    rows = [(k, x * 3000, x.split()[0]) for k, x in enumerate(["the other ", "schon ich "] * 4)] + [(8, "the other", "the"), (9, "schon ich", "schon"), (10, "?!", None)]
+    pred = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").where("length(text) > 20000 or doc_id = 8").unionByName(spark.createDataFrame([(20, "schon ich", None)], "doc_id long, text string, lang string"))).collect()}
+    assert pred[20] == "schon" and pred[8] == "the"

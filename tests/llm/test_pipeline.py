@@ -42,3 +42,10 @@ def test_queries_match_sql(spark):
         columns = sorted(got.columns)
         at = [want.columns.index(x) for x in columns]
         assert sorted(str([r[x] for x in columns]) for r in got.collect()) == sorted(str([r[k] for k in at]) for r in want.fetchall())
+
+
+def test_language_stage_keeps_letters_when_nothing_is_learned(spark):
+    import corpus_pipeline as c
+
+    docs = spark.createDataFrame([(1, "some text", None, "s", 9), (2, "日本", None, "s", 2), (3, "?! 1", None, "s", 4), (4, None, None, "s", None), (5, "", None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in c.language(spark, docs, DATA).collect()) == [1, 2]

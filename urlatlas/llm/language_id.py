@@ -3,8 +3,8 @@ the set of all languages that contain it; per-language counts of set bits, corre
 
 Slots of the filter are 64-bit masks, a bit for each language; an n-gram's languages are the AND of its slots. An n-gram
 belongs to a language if enough of the language's training texts contain it. The filter is fitted on a bounded sample
-(`per_language` texts of each language, none over `longest` bytes), so it is small whatever the corpus; prediction reads
-every whole text.
+(`per_language` texts of each language, those of at most `longest` bytes first; where a language has too few of them, the
+first `longest` characters of longer ones), so it is small whatever the corpus; prediction reads every whole text.
 
 Cases: `und` with score 0 if a text is null or has no letter, or nothing was learned; texts with letters but no known n-gram
 get the most frequent language, score 0; ties go to the first language by name; repeated rows are predicted alike; at most
@@ -116,14 +116,18 @@ def fit(texts: list[str] | pa.ChunkedArray, languages: list[str], least_share: f
 
 
 def training_sample(docs: DataFrame, train: Column, per_language: int = 1500, longest: int = 20_000) -> tuple[list[str] | pa.ChunkedArray, list[str]]:
-    """Texts and languages of about `per_language` rows of each language, chosen by a hash of the id."""
-    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= longest)).select("doc_id", "text", "lang")
-    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()]
+    """Texts and languages of about `per_language` rows of each language, chosen by a hash of the id; of texts over `longest`
+    bytes, which only fill up what shorter ones leave free, the first `longest` characters."""
+    short = F.octet_length("text") <= longest
+    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    counts = [(r["lang"], r["n"], r["long"]) for r in rows.groupBy("lang").agg(F.count_if(short).alias("n"), F.count_if(~short).alias("long")).orderBy(F.desc("n"), F.desc("long"), "lang").limit(64).collect()]
     if not counts:
         return [], []
-    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, per_language / n))])
-    kept = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < 1_000_000 * F.coalesce(F.try_element_at(share, "lang"), F.lit(0.0)))
-    found = kept.select("text", "lang").toArrow()
+    shares = lambda of: F.create_map(*[F.lit(x) for lang, n, long in counts for x in (lang, float(of(n, long)))])
+    share = F.when(short, F.try_element_at(shares(lambda n, _: min(1, per_language / max(1, n))), F.col("lang")))
+    share = share.otherwise(F.try_element_at(shares(lambda n, long: min(1, max(0, per_language - n) / max(1, long))), F.col("lang")))
+    kept = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < 1_000_000 * F.coalesce(share, F.lit(0.0)))
+    found = kept.select(F.when(short, F.col("text")).otherwise(F.substring("text", 1, longest)).alias("text"), "lang").toArrow()
     return found.column("text"), found.column("lang").to_pylist()
 
 
@@ -132,7 +136,7 @@ def has_letter(text: str | None) -> bool:
 
 
 def predict(docs: DataFrame, filters: Filters, usual: str, whole: bool = False) -> DataFrame:
-    """doc_id (or, with `whole`, the struct `row` of all columns), lang_pred, score of every row."""
+    """doc_id (or, with `whole`, the struct `row` of all columns), lang_pred, score of every row, and whether it has a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def compute():
@@ -152,15 +156,15 @@ def predict(docs: DataFrame, filters: Filters, usual: str, whole: bool = False)
                 plain[lo:hi] = np.diff(letters[starts[lo : hi + 1] - starts[lo]]) > 0
             best[score <= 0] = len(names) - 2
             for k in np.flatnonzero(~plain):  # no letter of ASCII, which settles most texts at once
-                if not has_letter(texts[int(k)].as_py()):
-                    best[k], score[k] = len(names) - 1, 0
+                plain[k] = has_letter(texts[int(k)].as_py())
+            best[~plain], score[~plain] = len(names) - 1, 0
             if not filters.languages:
                 best[:], score[:] = len(names) - 1, 0
-            return pa.array(names[best].tolist(), pa.string()), pa.array(score)
+            return pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(plain)
 
         return of
 
-    return common.with_columns(docs, "lang_pred string, score double", compute, whole)
+    return common.with_columns(docs, "lang_pred string, score double, lettered boolean", compute, whole)
 
 
 def identify(docs: DataFrame, train: Column | None = None, whole: bool = False) -> DataFrame:
