@@ -6,10 +6,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
-from urlatlas.llm import attention, byte_bpe, chat, exact_dedup, language_id, language_model, media_ts, ngram_join, packing, sharding, toxicity
+from urlatlas.llm import attention, byte_bpe, chat, common, exact_dedup, language_id, language_model, media_ts, ngram_join, packing, sharding, toxicity
 
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "a"), (5, "a"), (6, "a b c d e f g h i j k l m n o p q r s t u v w x y z"), (6, "a b c d e f g h i j k l m n o p q r s t u v w x y z"), (None, "null id"), (8, "x  y   z \n\n w  "), (9, "é" * 5000), (10, "!?;"), (11, "lorem " * 3000)]
 
@@ -94,18 +95,16 @@ def test_ngram_join_odd(odd, none):
     assert ngram_join.similar_groups(none).count() == 0
 
 
-def test_packer_limits():
-    rng = random.Random(3)
-    limits = packing.Limits(tokens=256, segments=5, loss_tokens=100, window=64)
-    packer, want, out = packing.Packer(limits), {}, []
-    for k in range(500):
-        n = rng.choice([1, 3, 50, 200, 256, 900])
-        want[k] = n, rng.randint(0, n)
-        out += packer.add(k, *want[k])
+def packed(limits, want, **options):
+    """Pieces by sequence: (offset, length, loss-bearing tokens) of each, all of them in order and nothing twice."""
+    packer, out = packing.Packer(limits, **options), []
+    for k, (n, loss) in want.items():
+        out += packer.add(k, np.arange(n, dtype="<u4").tobytes(), loss)
     out += packer.finish()
     at, sequences = dict.fromkeys(want, 0), {}
-    for key, start, length, number, offset in sorted(out, key=lambda x: (x[0], x[1])):
-        assert start == at[key] and length > 0
+    for key, start, ids, number, offset in sorted(out, key=lambda x: (x[0], x[1])):
+        length = len(ids) // 4
+        assert start == at[key] and np.frombuffer(ids, "<u4").tolist() == list(range(start, start + length)) and length > 0
         at[key] += length
         n, loss = want[key]
         sequences.setdefault(number, []).append((offset, length, max(0, start + length - max(start, n - loss))))
@@ -113,7 +112,25 @@ def test_packer_limits():
     for pieces in sequences.values():
         pieces.sort()
         assert [o for o, _, _ in pieces] == np.cumsum([0, *[n for _, n, _ in pieces]])[:-1].tolist()
-        assert sum(n for _, n, _ in pieces) <= 256 and len(pieces) <= 5 and sum(x for _, _, x in pieces) <= 100
+        total, loss = sum(n for _, n, _ in pieces), sum(x for _, _, x in pieces)
+        assert total <= limits.tokens and len(pieces) <= limits.segments and loss <= limits.loss_tokens
+        assert total == limits.tokens or total & (total - 1) == 0
+    return sequences
+
+
+def test_packer_limits():
+    rng = random.Random(3)
+    sizes = [rng.choice([1, 3, 50, 200, 256, 900]) for _ in range(500)]
+    packed(packing.Limits(tokens=256, segments=5, loss_tokens=100, window=64), {k: (n, rng.randint(0, n)) for k, n in enumerate(sizes)})
+    packed(packing.Limits(), {0: (100_000, 75_000), 1: (1, 0), 2: (1, 1), 3: (2048, 2048)})
+
+
+def test_dot_product_decides():
+    """Prompts, then answers: by the dot product each sequence has one of both; by size alone prompts go together, and every
+    answer fills the loss limit of a sequence that is half empty."""
+    want = {k: (64, 64 if k >= 200 else 0) for k in range(400)}
+    limits = packing.Limits(tokens=128, segments=4, loss_tokens=64, window=500)
+    assert len(packed(limits, want)) == 200 and len(packed(limits, want, by_size=True)) == 300
 
 
 def test_packing(odd, none):
@@ -134,14 +151,17 @@ def test_packing(odd, none):
     assert packing.pack_documents(none, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
 
 
-def test_byte_bpe(odd, none):
+def test_byte_bpe(odd, none, monkeypatch):
     ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
-    want, own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), byte_bpe.ByteBpe(ranks, P.PATTERN, 100)
+    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own, decode = byte_bpe.TextEncoder(byte_bpe.merges_of_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN), byte_bpe.Decoder(ranks)
     rng = random.Random(9)
     texts = [t or "" for _, t in ODD] + ["".join(rng.choice(" \n\tab'!é1日\x1c") for _ in range(rng.randint(0, 60))) for _ in range(2000)] + ["ab" * 20_000, "z" * 9999]
-    for t in texts:
-        ids = own.encode(t)
-        assert np.frombuffer(ids, "<u4").tolist() == want.encode_ordinary(t) and own.decode(ids) == t.encode()
+    for run in (12 << 20, 3000):  # runs end within long texts too
+        monkeypatch.setattr(byte_bpe, "RUN_BYTES", run)
+        ids, at = own.texts(pa.array([*texts, None], pa.string()))
+        for k, t in enumerate([*texts, ""]):
+            assert ids[at[k] : at[k + 1]].tolist() == want.encode_ordinary(t) and decode(ids[at[k] : at[k + 1]])[0].tobytes() == t.encode()
     rows = byte_bpe.encode_documents(odd, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
     assert sorted(bytes(r["decoded"]) for r in rows) == sorted((t or "").encode() for _, t in ODD)
     assert byte_bpe.encode_digest(none, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
@@ -223,7 +243,7 @@ def test_lm_base(spark, odd, none):
     from pyspark.sql import functions as F
 
     train = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
-    few = lambda df: language_model.score(df, train, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 512)
+    few = lambda df: language_model.score(df, train, P.path("byte_bpe_50k.tiktoken"), 512, steps=20)
     rows = few(odd).collect()
     words = [(i, [*(t or "").split(), "\0"]) for i, t in ODD]
     c = Counter(w for i, ws in words if i is not None and i % 2 == 0 for w in ws)
@@ -234,15 +254,58 @@ def test_lm_base(spark, odd, none):
 
 
 def test_lm_trains_on_every_text(spark):
+    """The first model is one that has seen nothing; all that is learned comes from the pass over every text."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    texts = [f"short text number {k}" for k in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(20)
+    data, starts = common.text_bytes(pa.array(texts))
+    ids, begins = language_model.subwords_of(path, 512).texts(language_model.words_of(data, starts))
+    score = lambda m: attention.score_texts(attention.Scorer(m), ids, begins).mean()
+    first = attention.start(np.zeros(513), 11)
+    assert score(language_model.train(rows, first, path, 512)) > score(first) + 0.01
+
+
+def test_lm_scores_by_the_definition():
+    """Batched windows against attention written out for one position after another."""
+    rng = np.random.default_rng(3)
+    m = attention.start(rng.integers(1, 99, 100).astype(float))
+    p, ids = {k: v.astype(float) for k, v in m.p.items()}, rng.integers(0, 100, 75)
+    want = 0.0
+    for t in range(len(ids) - 1):  # predicts ids[t + 1]
+        first = t // attention.FRESH * attention.FRESH - attention.CONTEXT  # of the window; before the text there are pads
+        seen = [ids[s] if s >= 0 else m.pad for s in range(first, t + 1)]
+        logits = np.array([p["q"][ids[t]] @ p["k"][x] / np.sqrt(attention.KEY) + p["near"][t - s] for s, x in zip(range(first, t + 1), seen)])
+        weights = np.exp(logits - logits.max())
+        weights /= weights.sum()
+        h = np.maximum(0, sum(w * p["v"][x] for w, x in zip(weights, seen)) + p["r"][ids[t]] + p["rb"])
+        c, member = divmod(int(m.place[ids[t + 1]]), attention.CLASS)
+        for logit, k in ((h @ p["cw"] + p["cb"], c), (h @ p["mw"][c] + p["mb"][c], member)):
+            want += logit[k] - np.log(np.exp(logit).sum())
+    assert abs(attention.score_texts(attention.Scorer(m), ids, np.array([0, 75]), block=2)[0] - want / np.log(10)) < 1e-4
+
+
+def test_lm_beats_its_base(spark):
+    """On held-out texts of a made-up language, whose words are made of few syllables."""
     from pyspark.sql import functions as F
 
-    texts = [f"short text number {k}" for k in range(200)]  # all over `longest`: the bounded sample has none
-    subwords = lambda: language_model.SubwordIds(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 512)
-    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
-    ids, starts = subwords().texts([t.encode() for t in texts])
-    score = lambda m: attention.score_texts(attention.Scorer(m), ids, starts).mean()
-    first = attention.start(np.zeros(513), 11)
-    assert score(language_model.train(rows, F.lit(True), subwords, 512, longest=5)) > score(first) + 0.01
+    rng = random.Random(2)
+    syllables = ["ba", "ko", "ri", "mu", "ten", "sol", "ga", "lin", "po", "des", "fu", "cha"]
+    rows = [(k, " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(60))) for k in range(400)]
+    got = language_model.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5 != 1, P.path("byte_bpe_50k.tiktoken"), 512, steps=150)
+    held = got.where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > 0.95 * held[1], held
+
+
+def test_words_that_a_weak_hash_confuses(spark):
+    """Thue-Morse words, which polynomial hashes modulo a power of two take for each other."""
+    for n in (64, 1024, 4096):
+        a = "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+        b = a.translate(str.maketrans("ab", "ba"))
+        data, starts = common.text_bytes(pa.array([a, b, a.upper()]))
+        h, _ = common.word_hashes(data, starts)
+        assert h[0] == h[2] != h[1]
+    rows = spark.createDataFrame([(1, a), (2, b), (3, a.upper())], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.similar_groups(rows).collect()} == {1: 1, 2: 2, 3: 1}
 
 
 SPACES = ["a \u00a0 \u00a0 c", *["a" + " \u00a0" * k + " c" for k in (1, 4, 8)], "a\u00a0 c", "\u00a0 c", " \u00a0 ", "a\t \n b", "\n \n x", "a \t b \r\n ", " \u3000 \u2028 y", "a\x1c \x1c b", "  a  b  ", " ", ""]
@@ -262,8 +325,30 @@ def test_white_space_around_single_spaces(spark):
         own = ids[r["doc_id"]]
         assert r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes())
     ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
-    want, own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), byte_bpe.ByteBpe(ranks, P.PATTERN, 100)
-    assert all(np.frombuffer(own.encode(t), "<u4").tolist() == want.encode_ordinary(t) for t in texts)
+    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids, at = byte_bpe.TextEncoder(byte_bpe.merges_of_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN).texts(pa.array(texts))
+    assert all(ids[at[k] : at[k + 1]].tolist() == want.encode_ordinary(t) for k, t in enumerate(texts))
+
+
+def test_both_queues_agree():
+    """The queue of many pre-tokens and the one of a single pre-token, against the definition: the lowest rank, leftmost."""
+    rng = random.Random(6)
+    merges = byte_bpe.merges_of_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+
+    def plain(word):
+        parts = [word[i : i + 1] for i in range(len(word))]
+        while True:
+            ranks = [merges.whole.get(a + b, 1 << 40) for a, b in zip(parts, parts[1:])]
+            if not ranks or min(ranks) == 1 << 40:
+                return [merges.whole[p] for p in parts]
+            i = ranks.index(min(ranks))
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    words = list({"".join(rng.choice("aaabnr tionéü") for _ in range(rng.randint(1, 60))).encode() for _ in range(800)})
+    starts = np.cumsum([0, *map(len, words)])
+    ids, at = byte_bpe.RankQueue(merges, np.frombuffer(b"".join(words), np.uint8), starts).run()
+    for k, w in enumerate(words):
+        assert ids[at[k] : at[k + 1]].tolist() == byte_bpe.merge_long(merges, w) == plain(w)
 
 
 def test_language_id_of_long_texts(spark):

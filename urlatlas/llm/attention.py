@@ -166,12 +166,17 @@ def score_texts(scorer: Scorer, ids: np.ndarray, starts: np.ndarray, block: int
     return out / np.log(10)
 
 
-def _add_rows(slope: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-    """Adds each row to the slope of its id; rows of an id are summed together."""
-    order = np.argsort(ids.astype(np.uint16) if len(slope) <= 1 << 16 else ids, kind="stable")
+def _sums(n: int, ids: np.ndarray, *rows: np.ndarray) -> list[np.ndarray]:
+    """For each array of rows the sum of the rows of each of n ids."""
+    order = np.argsort(ids.astype(np.uint16) if n <= 1 << 16 else ids, kind="stable")
     ids = ids[order]
     first = np.flatnonzero(np.diff(ids, prepend=-1))
-    slope[ids[first]] += np.add.reduceat(rows[order], first, axis=0)
+    out = []
+    for x in rows:
+        total = np.zeros((n, x.shape[1]), x.dtype)
+        total[ids[first]] = np.add.reduceat(x[order], first, axis=0)
+        out.append(total)
+    return out
 
 
 def gradients(m: Model, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -210,29 +215,28 @@ def gradients(m: Model, inputs: np.ndarray, targets: np.ndarray) -> tuple[float,
     dz *= h > 0
     g["rb"] = dz.sum(axis=0)
     dz = dz.reshape(h4.shape)
-    _add_rows(g["r"], fresh.ravel(), dz.reshape(-1, VALUE))
-    _add_rows(g["v"], inputs.ravel(), np.matmul(a.transpose(0, 2, 1), dz).reshape(-1, VALUE))
     da = np.matmul(dz, v.transpose(0, 2, 1))
     ds = a * (da - (da * a).sum(axis=2, keepdims=True))
     np.add.at(g["near"], _DISTANCE.ravel(), ds.sum(axis=0).ravel())
     ds *= np.float32(KEY**-0.5)
-    _add_rows(g["q"], fresh.ravel(), np.matmul(ds, k).reshape(-1, KEY))
-    _add_rows(g["k"], inputs.ravel(), np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, KEY))
+    ids = len(p["q"])
+    g["r"], g["q"] = _sums(ids, fresh.ravel(), dz.reshape(-1, VALUE), np.matmul(ds, k).reshape(-1, KEY))
+    g["v"], g["k"] = _sums(ids, inputs.ravel(), np.matmul(a.transpose(0, 2, 1), dz).reshape(-1, VALUE), np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, KEY))
     return float(loss) / n, {x: y / n for x, y in g.items()}
 
 
 class Trainer:
-    """Adam over blocks of windows; the learning rate falls to a tenth over `steps`."""
+    """Adam over blocks of windows; the learning rate falls to a tenth over `steps`, or by the root of the steps taken."""
 
-    def __init__(self, model: Model, rate: float, steps: int):
-        self.m, self.rate, self.steps, self.step = model, rate, max(1, steps), 0
+    def __init__(self, model: Model, rate: float, steps: int | None = None):
+        self.m, self.rate, self.steps, self.step = model, rate, steps, 0
         self.one = {k: np.zeros_like(v) for k, v in model.p.items()}
         self.two = {k: np.zeros_like(v) for k, v in model.p.items()}
 
     def train(self, inputs: np.ndarray, targets: np.ndarray) -> float:
         loss, g = gradients(self.m, inputs, targets)
         self.step += 1
-        rate = self.rate * max(0.1, 1 - 0.9 * self.step / self.steps)
+        rate = self.rate * (max(0.1, 1 - 0.9 * self.step / self.steps) if self.steps else (1 + self.step / 100) ** -0.5)
         for k, slope in g.items():
             self.one[k] += 0.1 * (slope - self.one[k])
             self.two[k] += 0.01 * (slope * slope - self.two[k])

@@ -1,11 +1,12 @@
-"""Helpers shared by the operators: whole texts as byte arrays, vectorised word hashes, word pieces of byte-level BPE."""
+"""Helpers shared by the operators: whole texts as byte arrays, vectorised word hashes, shared folders, cut lineage."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import gc
-import re
+import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,11 @@ NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_VALUE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)[_LOWER]
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: The first k bytes of eight, as a mask of a little-endian integer.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of over so many bytes are hashed one by one.
+LONG_WORD = 256
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -34,14 +36,35 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/urlatlas-checkpoints") -> str:
-    """The shared folder of spark.checkpoint.dir; the fallback is for sessions of one machine that name none."""
+    """The shared folder of spark.checkpoint.dir. The fallback is for sessions of one machine that name none; on a cluster
+    every node would have a folder of its own there, so that is an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not where and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(where or fallback)
+        _delete_on_exit(spark, sc._jsc.sc().getCheckpointDir().get())
     return where or fallback
 
 
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for a table that a lazy result reads; it goes when the application ends."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _delete_on_exit(spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read from there. Shuffle files of its making go when it is written: nothing needs
     them any more. Spark's own cleaner would only see that when the driver collects its garbage."""
@@ -107,6 +130,36 @@ def with_columns(docs: DataFrame, schema: str, compute, whole: bool) -> DataFram
     return small_batches(source).mapInArrow(tidy(run), StructType([first, *new.fields]))
 
 
+def joined(batches, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together as long as their texts have `limit` bytes at most; a larger one stays as it is."""
+    held, size = [], 0
+    for b in batches:
+        n = b.column("text").nbytes
+        if held and size + n > limit:
+            yield _one(held)
+            held, size = [], 0
+        held.append(b)
+        size += n
+    if held:
+        yield _one(held)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if any(b.num_rows for b in batches) else batches[0]
+
+
+def binary_array(data: np.ndarray, starts: np.ndarray) -> pa.LargeBinaryArray:
+    """Values data[starts[k] : starts[k + 1]], without a copy."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(np.ascontiguousarray(starts, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def binary_parts(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of large binary values, and where each value's begin (one more than values)."""
+    _, at, data = values.buffers()
+    starts = np.frombuffer(at, np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), starts
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and where each row's begin (one more than rows). Null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -127,18 +180,19 @@ def chunks(starts: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    """A permutation of 64-bit values in which every bit depends on all bits."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
 
+def lower(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+
+def separates(data: np.ndarray) -> np.ndarray:
+    """Which bytes are white space of `[^\\x20\\x09-\\x0D]+`."""
+    return _IS_SEPARATOR[data]
 
 
 def word_spans(data: np.ndarray, starts: np.ndarray, separator: np.ndarray = _IS_SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,15 +211,31 @@ def word_spans(data: np.ndarray, starts: np.ndarray, separator: np.ndarray = _IS
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, separator: np.ndarray = _IS_SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word, A-Z lower-cased, and how many words come before each row."""
+    """A 64-bit hash of every word, A-Z lower-cased, and how many words come before each row. Eight bytes at a time are mixed
+    in by permutations, so words of equal length of up to eight bytes never share a hash; long words are hashed whole."""
     first, end, before = word_spans(data, starts, separator)
     if not len(first):
         return np.zeros(0, np.uint64), before
-    part = data[int(starts[0]) : int(starts[-1])]
-    up, down = _power(len(part) + 1)
-    sums = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[part] * up[: len(part)], out=sums[1:])
-    return mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64)), before
+    part = np.zeros(int(starts[-1] - starts[0]) + 8, np.uint8)
+    part[:-8] = _LOWER[data[int(starts[0]) : int(starts[-1])]]
+    eight = np.ndarray(len(part) - 7, "<u8", part, strides=(1,))
+    length = end - first
+    h = mix(length.astype(np.uint64) * np.uint64(_BASE))
+    h = mix(h ^ eight[first] & _FIRST[np.minimum(length, 8)])
+    k, more = 8, np.flatnonzero((length > 8) & (length <= LONG_WORD))
+    while len(more):
+        h[more] = mix(h[more] * np.uint64(_BASE) ^ eight[first[more] + k] & _FIRST[np.minimum(length[more] - k, 8)])
+        k += 8
+        more = more[length[more] > k]
+    for k in np.flatnonzero(length > LONG_WORD).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(part[first[k] : end[k]], digest_size=8).digest(), "little")
+    return h, before
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
 
 
 def shingle_hashes(words: np.ndarray, before: np.ndarray, width: int) -> list[np.ndarray]:
@@ -179,7 +249,7 @@ def shingle_hashes(words: np.ndarray, before: np.ndarray, width: int) -> list[np
     out = []
     for lo, hi in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
         if hi - lo >= width:
-            out.append(np.unique(runs[lo : hi - width + 1]))
+            out.append(distinct(runs[lo : hi - width + 1]))
         elif hi > lo:
             h = hi - lo
             for w in words[lo:hi].tolist():
@@ -188,43 +258,3 @@ def shingle_hashes(words: np.ndarray, before: np.ndarray, width: int) -> list[np
         else:
             out.append(np.zeros(0, np.uint64))
     return out
-
-
-class Recent(dict):
-    """Answers of `make`, for short keys, in two generations: when one is full it becomes the old one, and what is asked for
-    again moves on. Frequent keys stay, rare ones go, and memory is bounded by twice `limit` entries."""
-
-    def __init__(self, make, limit: int = 400_000, longest: int = 48):
-        super().__init__()
-        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
-
-    def __missing__(self, key):
-        out = self.old.get(key)
-        if out is None:
-            out = self.make(key)
-            if len(key) > self.longest:
-                return out
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = out
-        return out
-
-
-class PieceCache:
-    """Ids of whole texts, as little-endian unsigned 32-bit bytes, for a byte-level BPE whose pattern starts a new match at
-    any single space that comes after something else than white space: runs of white space match together. `encode` turns any
-    string into such bytes; space-led pieces are remembered."""
-
-    def __init__(self, encode, limit: int = 400_000):
-        self.encode, self.known = encode, Recent(lambda piece: encode(" " + piece), limit)
-
-    def ids(self, text: str) -> bytes:
-        pieces = _CUT.split(text) if _WIDE.search(text) else text.split(" ")
-        rest = iter(pieces)
-        first = next(rest)
-        return (self.encode(first) if first else b"") + b"".join(map(self.known.__getitem__, rest))
-
-
-#: A space after white space, and one after anything else; the space comes first in both, which is faster to look for.
-_WIDE, _CUT = re.compile(r" (?<=\s )"), re.compile(r" (?<=\S )")

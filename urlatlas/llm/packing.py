@@ -2,18 +2,17 @@
 loss-bearing tokens at once, and the open sequence takes the piece whose demands have the largest dot product with what is
 left of the limits.
 
-Documents longer than a sequence fill whole sequences first. Where no piece fits the open sequence, one is cut to fill it,
-so only the last sequence of a partition can be short; that one is cut at powers of two, which need no padding.
-Each partition packs its own rows in bounded windows: no shuffle, and nothing waits for all rows.
+A document is a prompt, which bears no loss, and the rest, which does. Where no waiting piece fits the open sequence, one is
+cut to fill it; a sequence that still is short is cut at powers of two, which need no padding. Each partition packs its own
+rows: no shuffle, and nothing waits for all rows. At most `window` pieces of at most a sequence's length wait for a place.
 
-Cases: null or empty text is the end token alone; repeated rows are packed each; very long texts are cut; extra columns are
-not looked at; an empty table gives no pieces. `sequence_id` is unique over the table, not dense.
+Cases: null or empty text is the end token alone; repeated rows and ties are packed each, the first one first; very long texts
+are cut; extra columns are not looked at; an empty table gives no pieces. `sequence_id` is unique over the table, not dense.
 """
 
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +21,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import PieceCache, Recent, small_batches, tidy
+from .byte_bpe import RUN_BYTES, TextEncoder, merges_of_tokenizer
+from .common import joined, small_batches, tidy
+
+#: Of a piece that is placed already: it fits nowhere.
+_GONE = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -31,29 +34,31 @@ class Limits:
 
     tokens: int = 2048
     segments: int = 256
-    loss_tokens: int = 2048
-    window: int = 2048
+    loss_tokens: int = 1792
+    window: int = 1024
 
 
 class Packer:
-    """Places documents (key, tokens, loss-bearing tokens, which are the last ones); yields pieces as
-    (key, start, length, sequence, offset)."""
-
-    def __init__(self, limits: Limits, first_sequence: int = 0):
-        self.limits, self.next = limits, first_sequence
-        self.waiting: list[tuple] = []  # (key, start, length, tokens before the loss-bearing ones)
-        self.whole = np.array([limits.tokens, limits.segments, limits.loss_tokens], np.float64)
-
-    def add(self, key, tokens: int, loss_tokens: int) -> Iterator[tuple]:
-        start, plain = 0, tokens - loss_tokens
-        while tokens - start >= self.limits.tokens:  # whole sequences
-            length = self._fitting(start, self.limits.tokens, plain, self.limits.tokens, self.limits.loss_tokens)
-            yield key, start, length, self._number(), 0
+    """Places documents given as (key, ids, loss-bearing ids, which are the last ones), ids as 4 bytes each; yields pieces as
+    (key, start, ids, sequence, offset). `by_size`: the largest piece that fits is taken, whatever the other limits say."""
+
+    def __init__(self, limits: Limits, first_sequence: int = 0, by_size: bool = False):
+        self.limits, self.next, self.by_size = limits, first_sequence, by_size
+        self.waiting: list[tuple] = []  # (key, start, ids, how many of them come before the loss-bearing ones)
+
+    def add(self, key, ids: bytes, loss_tokens: int) -> Iterator[tuple]:
+        limits, start, tokens = self.limits, 0, len(ids) // 4
+        prompt = tokens - loss_tokens
+        while start < tokens:
+            length = min(tokens - start, limits.tokens, max(0, prompt - start) + limits.loss_tokens)
+            part = ids[4 * start : 4 * (start + length)]
+            if length == limits.tokens:  # a whole sequence
+                yield key, start, part, self._number(), 0
+            else:
+                self.waiting.append((key, start, part, min(length, max(0, prompt - start))))
+                if len(self.waiting) >= limits.window:
+                    yield from self._place(limits.window // 2)
             start += length
-        if start < tokens:
-            self.waiting.append((key, start, tokens - start, plain))
-            if len(self.waiting) >= self.limits.window:
-                yield from self._place(self.limits.window // 2)
 
     def finish(self) -> Iterator[tuple]:
         yield from self._place(0)
@@ -62,106 +67,87 @@ class Packer:
         self.next += 1
         return self.next - 1
 
-    @staticmethod
-    def _loss(start: int, length: int, plain: int) -> int:
-        return max(0, start + length - max(start, plain))
-
-    @staticmethod
-    def _fitting(start: int, length: int, plain: int, tokens: int, loss_tokens: int) -> int:
-        """How much of a piece has room."""
-        return min(length, tokens, max(0, plain - start) + loss_tokens)
-
     def _place(self, keep: int) -> Iterator[tuple]:
         """Fills sequences until at most `keep` pieces wait."""
-        demands = np.array([(n, 1, self._loss(start, n, plain)) for _, start, n, plain in self.waiting], np.float64).reshape(-1, 3)
-        alive = np.ones(len(demands), bool)
-        left = len(demands)
+        limits, waiting = self.limits, self.waiting
+        length = np.array([len(ids) // 4 for _, _, ids, _ in waiting], np.int64)
+        prompt = np.array([n for *_, n in waiting], np.int64)
+        loss, left = length - prompt, len(waiting)
         while left > keep:
-            free, content = self.whole.copy(), []
-            while left and free[0] > 0 and free[1] > 0:
-                worth = demands @ (free / self.whole**2)
-                fits = alive & (demands <= free).all(axis=1)
-                best = int(np.argmax(np.where(fits if fits.any() else alive, worth, -1)))
-                key, start, length, plain = self.waiting[best]
-                n = self._fitting(start, length, plain, int(free[0]), int(free[2]))
-                if n <= 0:
-                    break
-                if n == length:
-                    alive[best], left = False, left - 1
-                else:  # none fits: the rest of a cut piece waits on
-                    self.waiting[best] = key, start + n, length - n, plain
-                    demands[best] = length - n, 1, self._loss(start + n, length - n, plain)
-                content.append((key, start, n))
-                free -= (n, 1, self._loss(start, n, plain))
+            tokens, segments, bearing, content = limits.tokens, limits.segments, limits.loss_tokens, []
+            while left and tokens and segments:
+                # demands and what is left, both as shares of the limits; every piece is one segment
+                weights = tokens / limits.tokens**2, segments / limits.segments**2, 0.0 if self.by_size else bearing / limits.loss_tokens**2
+                worth = np.where((length <= tokens) & (loss <= bearing), length * weights[0] + loss * weights[2] + weights[1], -1)
+                best = int(worth.argmax())
+                n = int(length[best])
+                if worth[best] < 0:  # none fits: one is cut, and its rest waits on
+                    room = np.minimum(np.minimum(length, tokens), prompt + bearing)
+                    worth = np.where(room > 0, room * weights[0] + np.maximum(0, room - prompt) * weights[2], -1)
+                    best = int(worth.argmax())
+                    if worth[best] < 0:
+                        break
+                    n = int(room[best])
+                key, start, ids, before = waiting[best]
+                content.append((key, start, ids[: 4 * n]))
+                tokens, segments, bearing = tokens - n, segments - 1, bearing - max(0, n - before)
+                if n == length[best]:
+                    length[best], prompt[best], left = _GONE, -_GONE, left - 1
+                else:
+                    waiting[best] = key, start + n, ids[4 * n :], max(0, before - n)
+                    length[best] -= n
+                    prompt[best] = max(0, before - n)
+                    loss[best] = length[best] - prompt[best]
             yield from self._emit(content)
-        self.waiting = [x for x, a in zip(self.waiting, alive, strict=True) if a]
+        self.waiting = [x for x, n in zip(waiting, length, strict=True) if n < _GONE]
 
     def _emit(self, content: list[tuple]) -> Iterator[tuple]:
         """One sequence; a short one is cut at powers of two, the largest first."""
-        total, at = sum(n for _, _, n in content), 0
+        total, at = sum(len(ids) // 4 for *_, ids in content), 0
         number, room = self._number(), total if total == self.limits.tokens else 1 << (total.bit_length() - 1)
-        for key, start, n in content:
-            while n:
+        for key, start, ids in content:
+            while ids:
                 if at == room:
                     total -= room
                     number, room, at = self._number(), 1 << (total.bit_length() - 1), 0
-                take = min(n, room - at)
-                yield key, start, take, number, at
-                start, n, at = start + take, n - take, at + take
+                n = min(len(ids) // 4, room - at)
+                yield key, start, ids[: 4 * n], number, at
+                start, ids, at = start + n, ids[4 * n :], at + n
 
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def byte_level_encoder(tokenizer_path: str, pattern: str, limit: int = 400_000):
-    """Text to ids (little-endian unsigned 32-bit bytes) by a byte-level tokenizer's own merge model, a pre-token at a time,
-    which takes half the time of whole calls and reads the special tokens' strings as ordinary text."""
-    import regex
-    from tokenizers import Tokenizer
-
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
-    letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
-    merge, find = Tokenizer.from_file(tokenizer_path).model.tokenize, regex.compile(pattern).findall
-    known = Recent(lambda match: array("I", [t.id for t in merge(match.encode().decode("latin-1").translate(letters))]).tobytes(), limit)
-    return lambda text: b"".join(map(known.__getitem__, find(text)))
-
-
-def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, limits: Limits = Limits(), remembered: int = 400_000) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. All tokens bear loss.
-    `remembered`: pieces and pre-tokens of which a worker keeps the ids, twice as many at most."""
+def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, limits: Limits = Limits(), prompt_share: float = 0.25) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. The first `prompt_share` of a
+    document's ids, rounded down, is its prompt."""
 
     def run(batches):
-        cache = PieceCache(byte_level_encoder(tokenizer_path, pattern, remembered), remembered)
-        end = end_id.to_bytes(4, "little")
+        encoder, end = TextEncoder(merges_of_tokenizer(tokenizer_path), pattern), end_id.to_bytes(4, "little")
         packer = Packer(limits, TaskContext.get().partitionId() << 33)
-        open_docs: dict[int, list] = {}  # with tokens to place: id, ids, tokens left
         names = ["doc_id", *[x.split()[0] for x in PIECES.split(", ")]]
 
         def batch(placed, kind):
             columns = [[] for _ in names]
-            for key, start, length, number, offset in placed:
-                doc_id, ids, left = open_docs[key]
-                row = doc_id, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), len(ids) // 4, number, offset
+            for (doc_id, tokens), start, ids, number, offset in placed:
+                row = doc_id, start, len(ids) // 4, zlib.crc32(ids), tokens, number, offset
                 for column, x in zip(columns, row, strict=True):
                     column.append(x)
-                if left == length:
-                    del open_docs[key]
-                else:
-                    open_docs[key][2] = left - length
             return pa.RecordBatch.from_arrays([pa.array(c, kind if k == 0 else pa.int64()) for k, c in enumerate(columns)], names)
 
-        def place(b, serial):
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = cache.ids(text.as_py() or "") + end
-                open_docs[serial] = [doc_id, ids, len(ids) // 4]
-                yield from packer.add(serial, len(ids) // 4, len(ids) // 4)
-                serial += 1
+        def place(doc_ids, ids, starts):
+            for doc_id, lo, hi in zip(doc_ids.to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                whole = ids[lo:hi].tobytes() + end
+                tokens = len(whole) // 4
+                yield from packer.add((doc_id, tokens), whole, tokens - int(prompt_share * tokens))
 
-        kind, serial = None, 0
-        for b in batches:
+        kind = None
+        for b in joined(batches, RUN_BYTES):
             kind = b.column("doc_id").type
-            yield batch(place(b, serial), kind)
-            serial += b.num_rows
+            ids, starts = encoder.texts(b.column("text"))
+            for lo in range(0, b.num_rows, 2000):
+                part = b.column("doc_id").slice(lo, 2000)
+                yield batch(place(part, ids, starts[lo : lo + len(part) + 1]), kind)
         if kind is not None:
             yield batch(packer.finish(), kind)
 

@@ -81,7 +81,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score(documents(spark, sf_dir), crc_of_id() % 5 != 1, tokenizer("byte_bpe_50k.tiktoken"), pattern())
+    return language_model.score(documents(spark, sf_dir), crc_of_id() % 5 != 1, tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
