@@ -128,7 +128,7 @@ def window_sample(texts: DataFrame, ranks_path: str, vocabulary: int, sample: in
 def first_model(inputs: np.ndarray, targets: np.ndarray, vocabulary: int, steps: int, block: int, seed: int) -> attention.Model:
     model = attention.start(np.bincount(targets[targets >= 0], minlength=vocabulary + 1).astype(float), seed)
     if len(inputs):
-        steps = min(steps, max(30, 12 * len(inputs) // block))  # a small sample is not learned by heart
+        steps = min(steps, max(30, 40 * len(inputs) // block))  # a small sample is not learned by heart
         trainer, rng = attention.Trainer(model, 4e-2, steps), np.random.default_rng(seed)
         for _ in range(steps):
             k = rng.integers(0, len(inputs), block)
