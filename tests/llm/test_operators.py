@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -9,6 +10,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from urlatlas.llm import attention, byte_bpe, chat, common, exact_dedup, language_id, language_model, media_ts, ngram_join, packing, sharding, toxicity
 
@@ -36,6 +38,36 @@ def test_chat(spark):
     assert got[2]["n_turns"] == 2 and not got[2]["valid"] and got[2]["loss_chars"] == 10 and not got[3]["valid"]
 
 
+def test_templates_tell_turns_apart(spark):
+    """Random marks, and texts made of parts of them: what the template accepts reads back as it was."""
+    rng = random.Random(8)
+    made = [chat.Template(head="<|", colon="|>", tail="</s>\n"), chat.Template(head="", colon="=", tail=";")]
+    while len(made) < 25:
+        mark = lambda: "".join(rng.choice("<>|/# :s\n*.[") for _ in range(rng.randint(1, 4)))
+        try:
+            made.append(chat.Template(head=mark(), colon=mark(), tail=mark()))
+        except ValueError:
+            pass
+    for template in made:
+        parts = [template.head, template.colon, template.tail, "\\", "x", " ", *template.head, *template.colon, *template.tail, *[x for _, x in template.escapes]]
+        text = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+        rows = [(c, t, text(), text()) for c in range(12) for t in range(4)] + [(99, 0, "user", f"x{template.tail}{template.head}assistant{template.colon}y")]
+        done = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1), template)
+        for r in done.select("conv_id", chat.read_turns(chat.formatted_text(F.col("segments")), template).alias("back")).collect():
+            assert [(t["role"], t["text"]) for t in r["back"]] == [(x, y) for c, _, x, y in rows if c == r["conv_id"]], template
+    for head, colon, tail in (("#", "a", "aba"), ("#", ":", "a\\"), ("#", "", "x"), ("<", ":", "</s>"), ("#", "ab", "xa")):
+        with pytest.raises(ValueError):
+            chat.Template(head=head, colon=colon, tail=tail)
+
+
+def test_chat_odd(spark):
+    kind = "conv_id long, turn long, role string, text string, segments string"
+    assert chat.chat_digest(spark.createDataFrame([], kind)).count() == 0
+    long = "é: ### " * 30_000
+    got = chat.chat_digest(spark.createDataFrame([(1, 0, "user", "q", "clash"), (1, 1, "assistant", long, "clash")], kind)).first()
+    assert got["loss_chars"] == len(long) and got["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest() and got["valid"]
+
+
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
 def test_exact_dedup(spark, odd, none, keep):
     many = odd.unionByName(spark.range(100, 1300).selectExpr("id as doc_id", "concat('hot ', if(id % 3 = 0, id, 7)) as text", "'' as lang", "'' as source", "id as n_chars", "'' as h"))
@@ -180,6 +212,55 @@ def test_hilbert(odd, none, tmp_path):
     assert sharding.hilbert_shards(none).count() == 0
 
 
+def test_shards_by_whole_values(spark, tmp_path):
+    """Values that agree in their first bytes still have cells of their own: a filter on one of them reads few shards."""
+    rows = [(k, "x" * (k * 37 % 900), ["en", "de", "fr", None][k * 7 % 4], f"https://site{k * 13 % 16}") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    placed = sharding.hilbert_shards(docs, shards=40).cache()
+    for r, (k, text, _, _) in zip(sorted(placed.collect()), rows):
+        assert (r["doc_id"], r["size"], r["text_crc32"]) == (k, len(text) + 16, zlib.crc32(text.encode()))
+    both = placed.join(docs, "doc_id")
+    read = lambda where: both.where(where).select("shard").distinct().count()
+    assert read("source = 'https://site7'") <= 15 and read("lang = 'de'") <= 20 and read("lang is null") <= 20
+    assert read("size < 50") <= 15 and read("source = 'https://site7' and lang = 'de'") <= 5
+    sharding.write_shards(docs.withColumn("shard_note", F.lit("clash")), placed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 4000 and back.select("doc_id").distinct().count() == 4000 and back.where("shard = 3").count() == 100
+    cells = sharding.string_splitters(docs, "source", 4)  # more values than cells: runs of them
+    assert cells == sorted(cells) and 2 <= len(cells) <= 4 and cells[0] == "https://site0"
+    rng = random.Random(4)
+    moved = [docs.orderBy(F.rand(rng.randint(0, 99))).repartition(n) for n in (1, 7)]
+    assert len({tuple(sorted(map(tuple, sharding.hilbert_shards(d).collect()))) for d in moved}) == 1
+
+
+def test_language_filters_by_brute_force():
+    """Masks and shares of 70 languages, two words of bits, against sets of n-grams and counts one by one."""
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(97, 123)] + list("éñöß")
+    names = [f"l{k:02}" for k in range(70)]
+    words = {n: ["".join(rng.choice(letters) for _ in range(5)) for _ in range(6)] for n in names}
+    texts, langs = zip(*[(" ".join(rng.choice(words[n]) for _ in range(12)), n) for n in names for _ in range(4)])
+    filters = language_id.fit(list(texts), list(langs))
+    assert filters.languages == names and filters.masks.shape[1] == 2
+
+    def grams(text):
+        data, starts = common.text_bytes(pa.array([text]))
+        return np.concatenate([language_id.ngrams(data, starts, w)[0] for w in language_id.WIDTHS])
+
+    held = {n: {g for g, c in __import__("collections").Counter(g for t, x in zip(texts, langs) if x == n for g in set(grams(t).tolist())).items() if c >= 2} for n in names}
+    data, starts = common.text_bytes(pa.array(texts[:40]))
+    shares = filters.shares(data, starts)
+    for k, text in enumerate(texts[:40]):
+        every = grams(text)
+        masks = filters.containing(every)
+        for j, n in enumerate(names):
+            found = [bool(masks[i, j // 64] >> np.uint64(j % 64) & np.uint64(1)) for i in range(len(every))]
+            assert all(f for f, g in zip(found, every.tolist()) if g in held[n])  # no n-gram is missed
+            expected = len(every) * filters.false_rate[j]
+            assert abs(shares[k, j] - min(1, max(0, (sum(found) - expected) / (len(every) - expected)))) < 1e-9
+    assert [names[j] for j in shares.argmax(axis=1)] == list(langs[:40])
+
+
 def test_language_id(spark, odd, none):
     rng = random.Random(1)
     words = {"en": ["the", "thing", "other", "with"], "de": ["schön", "der", "und", "ich"], "fr": ["être", "le", "que", "vous"]}
@@ -202,9 +283,65 @@ def test_media(odd, none):
     assert media_ts.demux(media[: 188 * 4] + media[188 * 5 :]).streams[0].breaks == 1
     assert media_ts.demux(media + media[-188:]).streams[0].breaks == 0
     assert media_ts.demux(b"").streams == [] and media_ts.demux(b"junk" * 100).damaged
-    rows = media_ts.media_digest(odd).collect()
-    assert all(r["payload_bytes"] % 64 == 0 and r["payload_bytes"] >= max(64, r["n_bytes"]) for r in rows) and media_ts.media_digest(none).count() == 0
-    assert all(b"".join(bytes(u["bytes"]) for u in r["units"]).startswith(b"") for r in media_ts.media_column(odd).collect())
+    texts = sorted((t or "").encode() for _, t in ODD)
+    got = sorted(media_ts.media_digest(odd).collect(), key=lambda r: (r["n_bytes"], r["payload_sha256"]))
+    for r, text in zip(got, sorted(texts, key=lambda t: (len(t), hashlib.sha256(media_ts.padded(t)).hexdigest())), strict=True):
+        payload, media = media_ts.padded(text), media_ts.mux(media_ts.padded(text))
+        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(text), max(64, -(-len(text) // 64) * 64), len(media))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert r["media_sha256"] == hashlib.sha256(media).hexdigest() and r["feature"] == media_ts.describe(media_ts.demux(media))
+    assert media_ts.media_digest(none).count() == 0
+    assert sorted(b"".join(bytes(u["bytes"]) for u in r["units"]) for r in media_ts.media_column(odd).collect()) == sorted(map(media_ts.padded, texts))
+
+
+def section_packets(pid, sections, room=184):
+    """Sections in packets of `room` bytes of data, the first one begun by a pointer."""
+    data, out = b"\0" + b"".join(sections), []
+    for k in range(0, len(data), room):
+        part = data[k : k + room]
+        stuff = 184 - len(part)
+        field = b"" if not stuff else bytes([stuff - 1]) + (b"\0" + b"\xff" * (stuff - 2) if stuff > 1 else b"")
+        out.append(struct.pack(">BHB", 0x47, (0x4000 if k == 0 else 0) | pid, (0x30 if stuff else 0x10) | (k // room & 15)) + field + part)
+    return b"".join(out)
+
+
+def program_map(program, streams, version=0):
+    body = struct.pack(">HH", 0xE100, 0xF000) + b"".join(struct.pack(">BHH", kind, 0xE000 | pid, 0xF003) + b"abc" for pid, kind in streams)
+    head = struct.pack(">BHHBBB", 2, 0xB000 | len(body) + 9, program, 0xC1 | version << 1, 0, 0) + body
+    return head + struct.pack(">I", media_ts.mpeg_crc(head))
+
+
+@pytest.mark.parametrize("room", [184, 100, 7])
+def test_media_tables_over_packets(room):
+    """A map of 60 streams takes several packets, whatever their size; its latest version holds; damaged ones don't."""
+    body = struct.pack(">HHHH", 0, 0xE010, 1, 0xF000)  # the network's table, then a program
+    head = struct.pack(">BHHBBB", 0, 0xB000 | len(body) + 9, 1, 0xC1, 0, 0) + body
+    programs = section_packets(0, [head + struct.pack(">I", media_ts.mpeg_crc(head))])
+    old, new = [(0x200 + k, 0x1B) for k in range(60)], [(0x300 + k, 0x0F) for k in range(50)]
+    damaged = bytearray(program_map(1, old, 2))
+    damaged[20] ^= 1
+    kinds = lambda *sections: [(s.pid, s.kind) for s in media_ts.demux(programs + section_packets(0x1000, sections, room)).streams]
+    assert kinds(program_map(1, old)) == old
+    assert kinds(program_map(1, old), program_map(1, new, 1), bytes(damaged)) == new
+
+
+def test_media_finds_its_way_back():
+    payload = media_ts.padded(random.Random(1).randbytes(60_000))
+    media = media_ts.mux(payload)
+    whole = media_ts.demux(media)
+    for broken in (media[:5000] + b"123" + media[5000:], media[:5000] + media[5003:], b"\x47x" + media):
+        back = media_ts.demux(broken)
+        same = sum(u in whole.streams[0].units for u in back.streams[0].units)
+        assert back.damaged and same >= len(whole.streams[0].units) - 2
+    announced = bytearray(media[: 188 * 4] + media[188 * 5 :])
+    at = next(k for k in range(188 * 4, len(announced), 188) if announced[k + 3] & 0x20)
+    cut = media[: 188 * 3] + bytes(announced[at:])
+    assert media_ts.demux(cut).streams[0].breaks
+    announced[at + 5] |= 0x80
+    assert media_ts.demux(media[: 188 * 3] + bytes(announced[at:])).streams[0].breaks == 0
+    scrambled = bytearray(media)
+    scrambled[188 * 5 + 3] |= 0x80
+    assert media_ts.demux(bytes(scrambled)).damaged == 1
 
 
 def test_toxicity(spark, odd, none):
@@ -218,6 +355,31 @@ def test_toxicity(spark, odd, none):
     assert not any(r["toxic"] for r in toxicity.grade_toxicity(odd, labels.where("toxic = 0")).collect()) and toxicity.grade_toxicity(none, labels).count() == 0
 
 
+def test_toxicity_likelihood_by_brute_force():
+    """The fitted weights and thresholds are where the written-out likelihood is highest: no small step betters it."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["sea", "hill", "tree", "vile", "grim"], 12, p=[0.3, 0.3, 0.3, t * 0.08 + 0.01, 0.09 - t * 0.08])) for t in (rng.random(300) < 0.4).astype(int)]
+    toxic = np.array([t.count("vile") > t.count("grim") for t in texts]) ^ (rng.random(300) < 0.1)
+    rows = toxicity.word_counts(pa.array(texts))
+    model = toxicity.fit(rows, toxic, least_ratio=1.0, steps=3000, l2=0.0)
+    assert len(model.words) and model.thresholds[0] < model.thresholds[1]
+
+    def score(weights, text):
+        h, n = text
+        return sum(w * np.log1p(float(n[h == x][0])) for x, w in zip(model.words, weights) if (h == x).any())
+
+    # of the threshold that separates toxic from clean texts; both kinds weigh alike
+    def likelihood(weights, threshold):
+        p = np.array([1 / (1 + np.exp(threshold - score(weights, t))) for t in rows])
+        return np.log(p[toxic]).mean() + np.log(1 - p[~toxic]).mean()
+
+    p = model.exceed(np.array([score(model.weights, t) for t in rows]))
+    assert (p[:, 0] >= p[:, 1]).all()
+    best = likelihood(model.weights, model.thresholds[0])
+    assert best > likelihood(np.zeros(len(model.weights)), 0.0) + 0.2
+    assert all(best > likelihood(model.weights, model.thresholds[0] + step) for step in (0.7, -0.7))
+
+
 def test_attention():
     rng = np.random.default_rng(1)
     m = attention.start(rng.integers(1, 99, 100).astype(float))
@@ -240,8 +402,6 @@ def test_attention():
 def test_lm_base(spark, odd, none):
     from collections import Counter
 
-    from pyspark.sql import functions as F
-
     train = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
     few = lambda df: language_model.score(df, train, P.path("byte_bpe_50k.tiktoken"), 512, steps=20)
     rows = few(odd).collect()
@@ -286,8 +446,6 @@ def test_lm_scores_by_the_definition():
 
 def test_lm_beats_its_base(spark):
     """On held-out texts of a language in which each of 40 words has two that may follow it."""
-    from pyspark.sql import functions as F
-
     rng = random.Random(2)
     names = ["".join(rng.choice(["ba", "ko", "ri", "mu", "ten", "sol"]) for _ in range(2 + k % 2)) + "qxz"[k % 3] for k in range(40)]
     after = {w: rng.sample(names, 2) for w in names}

@@ -1,7 +1,11 @@
 """Chat formatting: a finite-state machine over roles checks the order of turns; a declarative template turns a
 conversation into text segments that carry a loss flag each. DataFrame functions only.
 
-Cases: null text and null role count as empty; rows of one conversation are ordered by (turn, role, text), nulls first, and
+Marks may be any strings that can be told apart from what they enclose: the template derives escapes from them, so that no
+mark is left inside a text or a role, and raises an error on marks for which that can't be.
+
+Cases: null text and null role count as empty; empty and very long texts are formatted whole; an empty table gives no rows;
+extra columns are not looked at; rows of one conversation are ordered by (turn, role, text), nulls first, and
 repeated rows are turns of their own; a null conv_id is a conversation like others; conversations that the machine does not
 accept are formatted all the same, with `valid` false. The formatted text of a conversation is one value, so one
 conversation has to fit in a task; nothing else grows with a group.
@@ -29,8 +33,31 @@ class Template:
         ("start", "system"): "briefed", ("start", "user"): "asked", ("briefed", "user"): "asked",
         ("asked", "assistant"): "answered", ("answered", "user"): "asked",
     })
-    #: Replaced inside texts and roles, the backslash first; no control string is left after it.
-    escapes: tuple[tuple[str, str], ...] = (("###", "\\h"), ("</turn>", "\\e"), (": ", "\\c"))
+
+    def __post_init__(self):
+        if not (self.colon and self.tail) or any("\\" in m for m in (self.head, self.colon, self.tail)):
+            raise ValueError("colon and tail can't be empty, and no mark can have a backslash")
+        # a tail is looked for from the left: none may begin in a mark before a text, or before the end of a text, and go on
+        begun = any(x.endswith(self.tail[:k]) for x in (self.head, self.colon, self.tail) for k in range(1, len(self.tail)))
+        if begun or self.tail in self.head or self.tail in self.colon:
+            raise ValueError("a tail could begin within a mark")
+        if any(self.colon.startswith(self.tail[k:]) or self.tail[k:].startswith(self.colon) for k in range(1, len(self.tail))):
+            raise ValueError("a tail could begin in a role and go on in the colon")
+        if any(self.colon.endswith(self.colon[:k]) for k in range(1, len(self.colon))):
+            raise ValueError("a colon could begin before the end of a role")
+        self.escapes  # noqa: B018
+
+    @property
+    def escapes(self) -> tuple[tuple[str, str], ...]:
+        """What is replaced inside texts and roles, the backslash first, and its codes: of each mark the part without outer
+        white space, or all of it if that has under two characters. A code's letter is in no mark, so that no new mark comes
+        about, and what is replaced first is what holds another."""
+        marks = [m for m in (self.head, self.tail, self.colon) if m]
+        letters = [x for x in "hecabdfgijklmnopqrstuvwxyz0123456789" if not any(x in m for m in marks)]
+        keys = dict.fromkeys(m.strip() if len(m.strip()) > 1 else m for m in marks)
+        if len(letters) < len(keys):
+            raise ValueError("marks leave no letter for escapes")
+        return tuple(sorted(((k, f"\\{x}") for k, x in zip(keys, letters)), key=lambda e: -len(e[0])))
 
 
 def escape(text: Column, template: Template) -> Column:
@@ -77,7 +104,7 @@ def loss_text(segments: Column, template: Template = Template()) -> Column:
 
 def read_turns(formatted: Column, template: Template = Template()) -> Column:
     """array<struct<role, text>> read back from formatted text."""
-    parts = F.split(formatted, template.tail.replace("\n", "\\n"), -1)
+    parts = F.split(formatted, f"\\Q{template.tail}\\E", -1)
     body = lambda p: F.substring(p, len(template.head) + 1, 2**31 - 1)
 
     def turn(p: Column) -> Column:

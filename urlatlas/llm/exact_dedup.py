@@ -1,12 +1,14 @@
-"""Exact dedup by content sort: sampled splitters range-partition the bytes of the texts, an external sort brings equal
-texts together, and comparing whole neighbours finds the groups. DataFrame functions only.
+"""Exact dedup by content sort: sampled splitters range-partition the texts by their first 32 characters and a hash, an
+external sort by the whole text brings equal texts together, and comparing whole neighbours finds the groups. DataFrame
+functions only.
 
 Texts of which a partition's fair share or more are copies are hot: their rows go to several ranges by a salt, and the
 groups of the salts (few rows) are joined afterwards. Only the hot texts' 64-bit hashes are broadcast, fewer than
 `hot_share` times the number of shuffle partitions.
 
 Cases: null text counts as empty; the row with the largest (or smallest) doc_id stays, null ids last; of repeated rows with
-the same id and text one is kept; extra columns are not looked at; an empty table gives an empty result.
+the same id and text one is kept (copies of a hot text that share one id, or have none, share one salt); very long texts are
+sorted whole; extra columns are carried along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,10 +23,13 @@ def group_copies(docs: DataFrame, normalise=lambda text: text, keep: str = "larg
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     best = F.max if keep == "largest" else F.min
     order: Column = F.col("doc_id").desc_nulls_last() if keep == "largest" else F.col("doc_id").asc_nulls_last()
-    rows = docs.select(F.col("doc_id"), normalise(F.coalesce(F.col("text"), F.lit(""))).alias("norm"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]).alias("row")).withColumn("h", F.xxhash64("norm"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]
+    rows = docs.select("doc_id", normalise(F.coalesce(F.col("text"), F.lit(""))).alias("norm"), F.struct(*others).alias("row")).withColumn("h", F.xxhash64("norm"))
     limit = max(least_hot, docs.count() // (hot_share * parts))
-    hot = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("h", F.ceil(F.col("n") / limit).cast("int").alias("ways"))
-    rows = rows.join(F.broadcast(hot), "h", "left").withColumn("salt", F.when(F.col("ways").isNull(), -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("ways")).cast("int"))).drop("ways", "h")
+    copies = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    hot = copies.select("h", F.ceil(F.col("n") / limit).cast("int").alias("ways"))
+    salt = F.when(F.col("ways").isNull(), -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("ways")).cast("int"))
+    rows = rows.join(F.broadcast(hot), "h", "left").withColumn("salt", salt).drop("ways", "h")
 
     # The sampled splitters hold a bounded head of the text and a hash, so that they stay small on the driver; whole texts
     # are sorted and compared behind them.

@@ -1,14 +1,14 @@
 """Language identification by language-bitmask n-gram filters: a bit-sliced Bloom filter gives, for every n-gram of a text,
 the set of all languages that contain it; per-language counts of set bits, corrected for false positives, decide.
 
-Slots of the filter are 64-bit masks, a bit for each language; an n-gram's languages are the AND of its slots. An n-gram
-belongs to a language if enough of the language's training texts contain it. The filter is fitted on a bounded sample
-(`per_language` texts of each language, those of at most `longest` bytes first; where a language has too few of them, the
-first `longest` characters of longer ones), so it is small whatever the corpus; prediction reads every whole text.
-
-Cases: `und` with score 0 if a text is null or has no letter, or nothing was learned; texts with letters but no known n-gram
-get the most frequent language, score 0; ties go to the first language by name; repeated rows are predicted alike; at most
-64 languages, the most frequent ones; extra columns are not looked at.
+Slots of the filter are masks, a bit for each language, in as many 64-bit words as the languages need; an n-gram's languages
+are the AND of its slots. An n-gram belongs to a language if enough of the language's training pieces contain it. The filter
+is fitted on a bounded sample of pieces of at most `piece` characters: `per_language` of each language, and `most` in all,
+chosen by a hash among all pieces of all texts, so that long texts count from end to end. Prediction reads every whole text.
+
+Cases: `und` with score 0 if a text is null, empty or has no letter, or nothing was learned; texts with letters but no known
+n-gram get the most frequent language, score 0; ties go to the first language by name; repeated rows are predicted alike; very
+long texts are read whole; an empty table gives no rows; extra columns are not looked at, or carried along as a struct.
 """
 
 from __future__ import annotations
@@ -52,6 +52,8 @@ def ngrams(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray
 
 @dataclass
 class Filters:
+    """`masks`: slots x words."""
+
     languages: list[str]
     masks: np.ndarray
     false_rate: np.ndarray  # of each language
@@ -63,14 +65,16 @@ class Filters:
 
     def add(self, grams: np.ndarray, language: int) -> None:
         for slot in self._slots(grams):
-            self.masks[slot] |= np.uint64(1 << language)
+            self.masks[slot, language >> 6] |= np.uint64(1 << (language & 63))
+
+    def has(self, masks: np.ndarray, language: int) -> np.ndarray:
+        return (masks[:, language >> 6] >> np.uint64(language & 63) & np.uint64(1)).astype(bool)
 
     def close(self) -> None:
-        fill = [float(((self.masks >> np.uint64(k)) & np.uint64(1)).mean()) for k in range(len(self.languages))]
-        self.false_rate = np.array(fill) ** self.hashes
+        self.false_rate = np.array([float(self.has(self.masks, k).mean()) for k in range(len(self.languages))]) ** self.hashes
 
     def containing(self, grams: np.ndarray) -> np.ndarray:
-        """The mask of the languages that contain each n-gram."""
+        """The masks of the languages that contain each n-gram."""
         first, *rest = self._slots(grams)
         out = self.masks[first]
         for slot in rest:
@@ -83,25 +87,24 @@ class Filters:
         hits, total = np.zeros((rows, len(self.languages))), np.zeros(rows)
         for width in WIDTHS:
             grams, of = ngrams(data, starts, width)
-            mask, row = self.containing(grams), of
-            total += np.bincount(row, minlength=rows)
+            masks = self.containing(grams)
+            total += np.bincount(of, minlength=rows)
             for k in range(len(self.languages)):
-                hits[:, k] += np.bincount(row[(mask >> np.uint64(k) & np.uint64(1)).astype(bool)], minlength=rows)
+                hits[:, k] += np.bincount(of[self.has(masks, k)], minlength=rows)
         expected = total[:, None] * self.false_rate
         return np.clip((hits - expected) / np.maximum(total[:, None] - expected, 1e-9), 0, 1) * (total > 0)[:, None]
 
 
 def fit(texts: list[str] | pa.ChunkedArray, languages: list[str], least_share: float = 0.02, slot_bits: int = 19) -> Filters:
     """`least_share`: of a language's texts that must contain an n-gram (two texts at least, if there are two)."""
-    counts: dict[str, int] = {}
-    for x in languages:
-        counts[x] = counts.get(x, 0) + 1
-    names = sorted(sorted(counts, key=lambda x: (-counts[x], x))[:64])
-    out = Filters(names, np.zeros(1 << slot_bits, np.uint64), np.zeros(len(names)))
+    every = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
+    of_language = np.array(languages, object)
+    names = sorted(set(languages))
+    out = Filters(names, np.zeros((1 << slot_bits, max(1, -(-len(names) // 64))), np.uint64), np.zeros(len(names)))
     for k, name in enumerate(names):
-        every = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
-        data, starts = common.text_bytes(every.filter(pa.array([x == name for x in languages], pa.bool_())))
-        least = max(min(2, counts[name]), least_share * counts[name])
+        own = every.filter(pa.array(of_language == name, pa.bool_()))
+        data, starts = common.text_bytes(own)
+        least = max(min(2, len(own)), least_share * len(own))
         for width in WIDTHS:
             found = [np.zeros(0, np.uint64)]
             for lo, hi in common.chunks(starts):
@@ -115,20 +118,20 @@ def fit(texts: list[str] | pa.ChunkedArray, languages: list[str], least_share: f
     return out
 
 
-def training_sample(docs: DataFrame, train: Column, per_language: int = 1500, longest: int = 20_000) -> tuple[list[str] | pa.ChunkedArray, list[str]]:
-    """Texts and languages of about `per_language` rows of each language, chosen by a hash of the id; of texts over `longest`
-    bytes, which only fill up what shorter ones leave free, the first `longest` characters."""
-    short = F.octet_length("text") <= longest
+def training_sample(docs: DataFrame, train: Column, per_language: int = 2000, most: int = 40_000, piece: int = 2000) -> tuple[list[str] | pa.ChunkedArray, list[str], str | None]:
+    """Pieces of texts and their languages, and the language with most texts: about `per_language` pieces of each language,
+    fewer where they would be more than `most` in all."""
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = [(r["lang"], r["n"], r["long"]) for r in rows.groupBy("lang").agg(F.count_if(short).alias("n"), F.count_if(~short).alias("long")).orderBy(F.desc("n"), F.desc("long"), "lang").limit(64).collect()]
+    pieces = F.ceil(F.char_length("text") / F.lit(piece)).cast("int")
+    counts = [(r["lang"], r["n"], r["pieces"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(pieces).alias("pieces")).orderBy(F.desc("n"), "lang").collect()]
     if not counts:
-        return [], []
-    shares = lambda of: F.create_map(*[F.lit(x) for lang, n, long in counts for x in (lang, float(of(n, long)))])
-    share = F.when(short, F.try_element_at(shares(lambda n, _: min(1, per_language / max(1, n))), F.col("lang")))
-    share = share.otherwise(F.try_element_at(shares(lambda n, long: min(1, max(0, per_language - n) / max(1, long))), F.col("lang")))
-    kept = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < 1_000_000 * F.coalesce(share, F.lit(0.0)))
-    found = kept.select(F.when(short, F.col("text")).otherwise(F.substring("text", 1, longest)).alias("text"), "lang").toArrow()
-    return found.column("text"), found.column("lang").to_pylist()
+        return [], [], None
+    wanted = min(per_language, max(1, most // len(counts)))
+    share = F.create_map(*[F.lit(x) for lang, _, n in counts for x in (lang, min(1.0, wanted / max(1, n)))])[F.col("lang")]
+    kept = F.filter(F.sequence(F.lit(0), pieces - 1), lambda k: F.pmod(F.xxhash64("doc_id", "text", k), F.lit(1_000_000)) < 1_000_000 * share)
+    cut = F.explode(F.transform(kept, lambda k: F.substring(F.col("text"), k * piece + 1, F.lit(piece))))
+    found = rows.where(F.col("text") != "").select("lang", cut.alias("text")).toArrow()
+    return found.column("text"), found.column("lang").to_pylist(), counts[0][0]
 
 
 def has_letter(text: str | None) -> bool:
@@ -169,8 +172,7 @@ def predict(docs: DataFrame, filters: Filters, usual: str, whole: bool = False)
 
 def identify(docs: DataFrame, train: Column | None = None, whole: bool = False) -> DataFrame:
     """Learns from rows of docs(doc_id, text, lang) where `train` holds, then predicts all rows."""
-    texts, languages = training_sample(docs, F.lit(True) if train is None else train)
-    usual = max(sorted(set(languages)), key=languages.count, default=UNDETERMINED)
+    texts, languages, usual = training_sample(docs, F.lit(True) if train is None else train)
     filters = fit(texts, languages)
     common.release()
-    return predict(docs, filters, usual, whole)
+    return predict(docs, filters, usual or UNDETERMINED, whole)

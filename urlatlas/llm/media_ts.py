@@ -2,12 +2,14 @@
 random-access points.
 
 `demux` reads any stream of 188-byte packets: it follows the program association table to the program maps and their
-elementary streams, counts breaks of the continuity counters, joins packets into elementary packets and keeps their
-presentation times and random-access marks. `mux` writes bytes as one private stream, losslessly.
-
-Cases: null or empty text is a payload of 64 zero bytes; packets that are cut short, without the sync byte or marked as
-damaged are skipped and counted; a repeated packet counts once; a stream without tables has no streams; repeated rows give
-equal values; extra columns are not looked at.
+elementary streams, whose sections may span packets and of which the latest version holds, counts breaks of the continuity
+counters where no discontinuity is announced, joins packets into elementary packets and keeps their presentation times and
+random-access marks. After inserted or lost bytes it looks for the next two sync bytes that are a packet apart. `mux` writes
+bytes as one private stream, losslessly.
+
+Cases: null or empty text is a payload of 64 zero bytes; packets that are cut short, without the sync byte, scrambled or marked
+as damaged are skipped and counted; a repeated packet counts once; a stream without tables has no streams; repeated rows and
+ties give equal values; very long texts make one long stream; an empty table gives no rows; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -124,24 +126,67 @@ class Transport:
     damaged: int
 
 
-def _sections(data: bytes, table_id: int) -> list[bytes]:
-    """Bodies of the valid sections of a table that begin at a packet's pointer."""
-    at, out = 1 + (data[0] if data else 0), []
-    while at + 3 <= len(data) and data[at] != 0xFF:
-        end = at + 3 + ((data[at + 1] & 0x0F) << 8 | data[at + 2])
-        if end > len(data) or end - at < 12:
-            break
-        if data[at] == table_id and mpeg_crc(data[at:end]) == 0:
-            out.append(data[at + 8 : end - 4])
-        at = end
-    return out
+class Sections:
+    """Sections of the tables on one packet identifier, put together from the packets' data."""
+
+    def __init__(self):
+        self.data, self.found = None, {}  # (table, extension, number) -> (version, body)
+
+    def packet(self, data: bytes, begins: bool) -> None:
+        if begins:
+            at = 1 + (data[0] if data else 0)
+            self._go_on(data[1:at])
+            self.data = b""
+            data = data[at:]
+        self._go_on(data)
+
+    def _go_on(self, data: bytes) -> None:
+        if self.data is None:
+            return  # nothing has begun yet
+        self.data += data
+        while len(self.data) >= 3 and self.data[0] != 0xFF:
+            end = 3 + ((self.data[1] & 0x0F) << 8 | self.data[2])
+            if len(self.data) < end:
+                return
+            section, self.data = self.data[:end], self.data[end:]
+            if end >= 12 and section[5] & 1 and mpeg_crc(section) == 0:  # in force now, and whole
+                table, version = (section[0], section[3] << 8 | section[4]), section[5] >> 1 & 31
+                self.found = {k: v for k, v in self.found.items() if k[:2] != table or v[0] == version}
+                self.found[*table, section[6]] = version, section[8:-4]
+
+    def bodies(self, table_id: int) -> list[bytes]:
+        return [body for key, (_, body) in sorted(self.found.items()) if key[0] == table_id]
+
+
+def _packets(media: bytes) -> tuple[np.ndarray, int]:
+    """Whole packets (rows of PACKET bytes) that begin with a sync byte, and how many runs of other bytes there are."""
+    data = np.frombuffer(media, np.uint8)
+    whole = len(data) // PACKET
+    rows = data[: whole * PACKET].reshape(whole, PACKET)
+    if whole * PACKET == len(data) and (rows[:, 0] == SYNC).all():
+        return rows, 0
+    follows = lambda at: at + PACKET >= len(data) or media[at + PACKET] == SYNC
+    at, starts, bad = 0, [], 0
+    while at + PACKET <= len(data):
+        if media[at] == SYNC and (follows(at) or follows(at + PACKET)):
+            starts.append(at)
+            at += PACKET
+            continue
+        bad += 1
+        if follows(at):
+            at += PACKET
+            continue
+        at = media.find(SYNC, at + 1)
+        while at >= 0 and not follows(at):
+            at = media.find(SYNC, at + 1)
+        at = at if at >= 0 else len(data)
+    return data[np.array(starts, np.int64)[:, None] + np.arange(PACKET)], bad + (0 < len(data) - at < PACKET)
 
 
 def demux(media: bytes) -> Transport:
-    whole = len(media) // PACKET
-    p = np.frombuffer(media, np.uint8, whole * PACKET).reshape(whole, PACKET)
-    good = (p[:, 0] == SYNC) & (p[:, 1] < 0x80)
-    damaged = int(whole - good.sum()) + (len(media) % PACKET > 0)
+    p, bad = _packets(media)
+    good = (p[:, 1] < 0x80) & (p[:, 3] < 0x40)
+    whole, damaged = len(p) + bad, bad + int(len(p) - good.sum())
     p = p[good]
     pids = (p[:, 1].astype(np.int64) & 0x1F) << 8 | p[:, 2]
     begins, counters = (p[:, 1] & 0x40) > 0, (p[:, 3] & 15).astype(np.int64)
@@ -149,14 +194,20 @@ def demux(media: bytes) -> Transport:
     offset = np.where(adapted, 5 + p[:, 4].astype(np.int64), 4)
     loaded &= offset < PACKET
     accessible = adapted & (p[:, 4] > 0) & ((p[:, 5] & 0x40) > 0)
+    announced = adapted & (p[:, 4] > 0) & ((p[:, 5] & 0x80) > 0)
 
     def table(pid: int, table_id: int) -> list[bytes]:
-        return [s for k in np.flatnonzero((pids == pid) & begins & loaded) for s in _sections(p[k, offset[k] :].tobytes(), table_id)]
-
-    maps = {(s[i + 2] & 0x1F) << 8 | s[i + 3] for s in table(0, 0)[-1:] for i in range(0, len(s) - 3, 4) if s[i] or s[i + 1]}
+        sections, before = Sections(), None
+        for k in np.flatnonzero((pids == pid) & loaded).tolist():
+            if before is None or p[k].tobytes() != before:  # a repeated packet says nothing new
+                sections.packet(p[k, offset[k] :].tobytes(), bool(begins[k]))
+            before = p[k].tobytes()
+        return sections.bodies(table_id)
+
+    maps = {(s[i + 2] & 0x1F) << 8 | s[i + 3] for s in table(0, 0) for i in range(0, len(s) - 3, 4) if s[i] or s[i + 1]}
     found: dict[int, int] = {}
     for pid in sorted(maps):
-        for s in table(pid, 2)[-1:]:
+        for s in table(pid, 2):
             at = 4 + ((s[2] & 0x0F) << 8 | s[3])
             while at + 5 <= len(s):
                 found[(s[at + 1] & 0x1F) << 8 | s[at + 2]] = s[at]
@@ -167,7 +218,7 @@ def demux(media: bytes) -> Transport:
         if len(of):
             step = np.diff(counters[of]) & 15
             again = np.concatenate([[False], (step == 0) & (p[of[1:]] == p[of[:-1]]).all(axis=1)])
-            out.breaks = int(((step != 1) & ~again[1:]).sum())
+            out.breaks = int(((step != 1) & ~again[1:] & ~announced[of[1:]]).sum())
             of = of[~again]
             data = p[of][np.arange(PACKET) >= offset[of][:, None]].tobytes()
             ends = np.cumsum(PACKET - offset[of])

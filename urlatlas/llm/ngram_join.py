@@ -2,8 +2,8 @@
 
 1. Texts with the same set of shingles become one class (copies are never compared with each other).
 2. Shingle frequencies give a global order, rare first. Batches of texts send the distinct shingles of their classes,
-   packed by hash bucket, each class from one batch only, and get back those that another class has too. A shingle that nothing shares only counts in
-   the size of its set.
+   packed by hash bucket, each class from one batch only, and get back those that another class has too. A shingle that
+   nothing shares only counts in the size of its set. Of a text that many rows share, one row goes to a batch.
 3. Two sets that reach the threshold share one of their first `n - ceil(t*n) + 1` shingles. Classes that share such a
    shingle form a group. A group all of whose members share an earlier shingle too lies within that one's group and is
    left out; groups with the same members count once.
@@ -14,7 +14,7 @@
    text grow together without a task that holds them all; pairs of blocks are compared only while the group still has
    several components. Alternating large-star and small-star steps turn links into components.
 
-Cases: null or empty text and text without words have an empty set, no links, and stay alone; fewer words than the width
+Cases: an empty table gives no rows; very long texts are read whole; null or empty text and text without words have an empty set, no links, and stay alone; fewer words than the width
 are one shingle; ties in frequency are broken by hash; repeated rows and equal doc_ids are allowed (the component is the
 smallest doc_id of its members); a null doc_id takes part and never is the smallest; extra columns are not looked at.
 """
@@ -125,7 +125,7 @@ def _shingles(texts: pa.Array, width: int):
 
 
 def shingle_classes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, row_hash, key (of the set; null if empty), n_shingles."""
+    """doc_id, row_hash, text_hash, key (of the set; null if empty), n_shingles."""
 
     def run(batches):
         for b in batches:
@@ -133,9 +133,11 @@ def shingle_classes(docs: DataFrame, width: int) -> DataFrame:
             for _, h in _shingles(b.column("text"), width):
                 sizes.append(len(h))
                 keys.append(_digest(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_hash"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "row_hash", "key", "n_shingles"])
+            columns = b.column("doc_id"), b.column("row_hash"), b.column("text_hash"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())
+            yield pa.RecordBatch.from_arrays(list(columns), ["doc_id", "row_hash", "text_hash", "key", "n_shingles"])
 
-    return common.small_batches(docs.select("doc_id", "text", _row_hash().alias("row_hash"))).mapInArrow(common.tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_hash long, key binary, n_shingles long")
+    source = docs.select("doc_id", "text", _row_hash().alias("row_hash"), F.xxhash64("text").alias("text_hash"))
+    return common.small_batches(source).mapInArrow(common.tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_hash long, text_hash long, key binary, n_shingles long")
 
 
 def _frequency_code(counts: np.ndarray) -> np.ndarray:
@@ -258,40 +260,61 @@ def tree_join(members: DataFrame, percent: int, sides: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(key, label): the smallest key of each component of (a, b), by alternating large-star and small-star steps."""
+    """(key, label): the smallest key of each component of (a, b), by alternating large-star and small-star steps. The least
+    neighbours are written down before edges join them, so that adaptive execution can split a node with very many edges."""
+
+    def summary(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+
     edges = common.cut_lineage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    while True:
+    before = summary(edges)
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = common.cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = edges.select(F.col("b").alias("c"), F.col("a")).join(least.select(F.col("a").alias("c"), "m"), "c").select("a", F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        new = common.cut_lineage(small)
-        changed = new.exceptAll(edges).limit(1).count() or edges.exceptAll(new).limit(1).count()
-        edges = new
-        if not changed:
-            return edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "key").unionByName(edges.select(F.col("b").alias("key"), F.col("b").alias("label")).distinct())
+        pairs = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
+        edges = common.cut_lineage(large.join(down, "a").select(pairs.alias("e")).select("e.a", "e.b").where("a <> b").distinct())
+        now = summary(edges)
+        if now == before:
+            break
+        before = now
+    return edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "key").unionByName(edges.select(F.col("b").alias("key"), F.col("b").alias("label")).distinct())
+
+
+def _probe_groups(probes: DataFrame) -> DataFrame:
+    """probe, size: the groups of sets that share a probe, those left out that lie within another one."""
+    within = [F.coalesce((F.min(e) == F.max(e)) & (F.count(e) == F.count(F.lit(1))), F.lit(False)) for e in ("e0", "e1", "e2")]
+    groups = probes.groupBy("probe").agg(
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(7))).alias("y"),
+        (within[0] | within[1] | within[2]).alias("within"),
+    )
+    alone = groups.where("size > 1 and not within")
+    return alone.groupBy("size", "x", "y").agg(F.min("probe").alias("probe")).select("probe", "size")
 
 
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 1500) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
-    spark = docs.sparkSession
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = common.cut_lineage(shingle_classes(docs, width))
     reps = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("row_hash").alias("row_hash"))
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    count, total = rows.agg(F.count(F.lit(1)), F.sum("n_shingles")).first()
+    total = total or 0
     batches, buckets = max(1, -(-total // BATCH_SHINGLES)), max(1, -(-total // BUCKET_SHINGLES))
     # a class is sent by one batch alone: that of its row with the smallest hash
     batch = lambda h: F.pmod(h, F.lit(batches)).alias("batch")
-    texts, owners = docs.select(batch(_row_hash()), "text"), reps.select(batch(F.col("row_hash")), "key")
+    # of the classes that a large share of rows have, of which there are few, only that row's text is sent at all
+    often = rows.where("n_shingles > 0").groupBy("text_hash").agg(F.count(F.lit(1)).alias("n"), F.min("row_hash").alias("only")).where(F.col("n") > max(200, count // (4 * parts)))
+    texts = docs.select("text", _row_hash().alias("row_hash"), F.xxhash64("text").alias("text_hash")).join(F.broadcast(often.select("text_hash", "only")), "text_hash", "left")
+    texts = texts.where("only is null or row_hash = only").select(batch(F.col("row_hash")), "text")
+    owners = reps.select(batch(F.col("row_hash")), "key")
     sets = common.cut_lineage(ordered_sets(texts, owners, shared_shingles(texts, owners, buckets, width), buckets, width, percent))
 
     # an earlier shingle of each probe's set: the one before it, the set's first, the first of the same frequency
     earlier = lambda p, at: F.nullif(F.get("probes", at), p)
-    probes = sets.select("key", F.explode(F.transform("probes", lambda p, i: F.struct(p.alias("probe"), earlier(p, i - 1).alias("e0"), earlier(p, F.lit(0)).alias("e1"), earlier(p, F.get("runs", i)).alias("e2")))).alias("p")).select("key", "p.*")
-    within = [F.coalesce((F.min(e) == F.max(e)) & (F.count(e) == F.count(F.lit(1))), F.lit(False)) for e in ("e0", "e1", "e2")]
-    groups = probes.groupBy("probe").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(7))).alias("y"), (within[0] | within[1] | within[2]).alias("within")).where("size > 1 and not within")
-    groups = groups.groupBy("size", "x", "y").agg(F.min("probe").alias("probe")).select("probe", "size")
-    member = common.cut_lineage(probes.select("probe", "key").join(groups, "probe").select("probe", "size", "key"))
+    known = F.transform("probes", lambda p, i: F.struct(p.alias("probe"), earlier(p, i - 1).alias("e0"), earlier(p, F.lit(0)).alias("e1"), earlier(p, F.get("runs", i)).alias("e2")))
+    probes = sets.select("key", F.explode(known).alias("p")).select("key", "p.*")
+    member = common.cut_lineage(probes.select("probe", "key").join(_probe_groups(probes), "probe").select("probe", "size", "key"))
     small = member.where(F.col("size") <= block).select(F.struct("probe", F.lit(0).alias("i"), F.lit(0).alias("j")).alias("cell"), "key")
     ways = F.ceil(F.col("size") / F.lit(block // 2)).cast("int")
 
@@ -313,7 +336,9 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: in
         placed = blocks(3).join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
         # blocks that still hold another component than the group's smallest are compared with all others
         kinds = placed.groupBy("probe", "i").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-        pairs = kinds.alias("p").join(kinds.alias("q"), (F.col("p.probe") == F.col("q.probe")) & (F.col("p.i") < F.col("q.i")) & ~((F.col("p.least") == F.col("p.most")) & (F.col("q.least") == F.col("q.most")) & (F.col("p.least") == F.col("q.least")))).select("p.probe", F.col("p.i").alias("i"), F.col("q.i").alias("j"))
+        p, q = kinds.alias("p"), kinds.alias("q")
+        joined_already = (F.col("p.least") == F.col("p.most")) & (F.col("q.least") == F.col("q.most")) & (F.col("p.least") == F.col("q.least"))
+        pairs = p.join(q, (F.col("p.probe") == F.col("q.probe")) & (F.col("p.i") < F.col("q.i")) & ~joined_already).select("p.probe", F.col("p.i").alias("i"), F.col("q.i").alias("j"))
         if pairs.limit(1).count():
             side = lambda c, v: pairs.join(placed.select("probe", F.col("i").alias(c), "key"), ["probe", c]).select(F.struct("probe", "i", "j").alias("cell"), "key", F.lit(v).alias("side"))
             links = common.cut_lineage(links.unionByName(dealt(side("i", 0).unionByName(side("j", 1)), labels, True)))

@@ -3,12 +3,12 @@ thresholds b_1 < b_2, over sparse word features. The expected severity is the su
 
 Labels say toxic or not; the grades of toxic training texts are 1 or 2 by how many cue words they hold against the median
 of toxic texts. Words that the sample ties to toxic or to clean texts are the features (log of 1 + count, up to 7). The model is
-fitted on a bounded sample of labelled rows (`sample` of either kind) that leaves the rest of the corpus to prediction,
-which reads every whole text.
+fitted on a bounded sample of labelled rows (about `sample` of either kind, fewer where their texts would have over
+`sample_bytes`), of which the distinct words' hashes and counts come to the driver; prediction reads every whole text.
 
 Cases: null or empty text has no features and the grade of the thresholds alone; labels without text, texts without label
-and repeated labels are fine; without labels of both kinds nothing is toxic; ties and repeated rows score alike; extra
-columns are not looked at.
+and repeated labels are fine; without labels of both kinds nothing is toxic; ties and repeated rows score alike; very long
+texts are read whole; an empty table gives no rows; extra columns are not looked at, or carried along as a struct.
 """
 
 from __future__ import annotations
@@ -50,17 +50,23 @@ def features(model_words: np.ndarray, data: np.ndarray, starts: np.ndarray) -> t
     return cell // len(model_words), cell % len(model_words), np.log1p(np.minimum(n, MOST))
 
 
-def fit(texts: list[str] | pa.ChunkedArray, toxic: np.ndarray, most_words: int = 2000, least_texts: int = 3, least_ratio: float = 15.0, steps: int = 400, l2: float = 1e-3) -> Ordinal:
-    if not toxic.any() or toxic.all():
-        return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.array([30.0, 31.0]))
-    data, starts = common.text_bytes(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
-    seen, of = [], []
+def word_counts(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's distinct word hashes, sorted, and how often it has them, up to MOST."""
+    data, starts = common.text_bytes(texts)
+    out = []
     for lo, hi in common.chunks(starts):
         words, before = common.word_hashes(data, starts[lo : hi + 1], common.NOT_LETTER)
         for k in range(hi - lo):
-            h = np.unique(words[before[k] : before[k + 1]])
-            seen.append(h)
-            of.append(np.full(len(h), toxic[lo + k]))
+            h, n = np.unique(words[before[k] : before[k + 1]], return_counts=True)
+            out.append((h, np.minimum(n, MOST).astype(np.uint8)))
+    return out
+
+
+def fit(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, most_words: int = 2000, least_texts: int = 3, least_ratio: float = 15.0, steps: int = 400, l2: float = 1e-3) -> Ordinal:
+    """From what `word_counts` gives of each text."""
+    if not toxic.any() or toxic.all():
+        return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.array([30.0, 31.0]))
+    seen, of = [h for h, _ in texts], [np.full(len(h), kind) for (h, _), kind in zip(texts, toxic, strict=True)]
     words, at = np.unique(np.concatenate(seen), return_inverse=True)
     of = np.concatenate(of)
     n = np.stack([np.bincount(at[of == k], minlength=len(words)) for k in (0, 1)]).astype(float)
@@ -76,11 +82,12 @@ def fit(texts: list[str] | pa.ChunkedArray, toxic: np.ndarray, most_words: int =
     chosen, cue = words[use], (odds > 1)[use]
 
     rows, cols, values = [], [], []
-    for lo, hi in common.chunks(starts):
-        r, c, v = features(chosen, data, starts[lo : hi + 1])
-        rows.append(r + lo)
-        cols.append(c)
-        values.append(v)
+    for k, (h, n) in enumerate(texts):
+        at = np.minimum(np.searchsorted(chosen, h), max(0, len(chosen) - 1))
+        hit = np.flatnonzero(chosen[at] == h) if len(chosen) else np.zeros(0, np.int64)
+        rows.append(np.full(len(hit), k))
+        cols.append(at[hit])
+        values.append(np.log1p(n[hit].astype(float)))
     rows, cols, values = map(np.concatenate, (rows, cols, values))
     held = np.bincount(rows, np.expm1(values) * cue[cols] if len(cols) else None, minlength=len(texts))
     grade = np.where(toxic, 1 + (held > np.median(held[toxic])), 0)
@@ -103,14 +110,24 @@ def fit(texts: list[str] | pa.ChunkedArray, toxic: np.ndarray, most_words: int =
     return Ordinal(chosen, w, b)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, longest: int = 50_000) -> tuple[pa.ChunkedArray, np.ndarray]:
-    """Texts and labels of about `sample` rows of either kind, chosen by a hash of the id; the chosen ids are broadcast."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {bool(r["k"]): r["n"] for r in known.groupBy((F.col("toxic") > 0).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.when(F.col("toxic") > 0, min(1.0, sample / max(1, counts.get(True, 0)))).otherwise(min(1.0, sample / max(1, counts.get(False, 0))))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * share)
-    found = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= longest)).join(F.broadcast(chosen), "doc_id").select("text", "toxic").toArrow()
-    return found.column("text"), np.array(found.column("toxic").to_pylist(), np.int64) > 0
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Words and labels of about `sample` rows of either kind, chosen by a hash of the id; the chosen ids are broadcast."""
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    wanted = min(sample, sample_bytes * (rows or 0) // max(1, 2 * (size or 0)))
+    share = lambda kind: F.lit(min(1.0, wanted / max(1, counts.get(kind, 0))))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * F.when(F.col("toxic"), share(True)).otherwise(share(False)))
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+
+    def run(batches):
+        for b in batches:
+            words = word_counts(b.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array([h.tobytes() for h, _ in words], pa.binary()), pa.array([n.tobytes() for _, n in words], pa.binary()), b.column("toxic")], ["words", "counts", "toxic"])
+
+    got = common.small_batches(found).mapInArrow(common.tidy(run), "words binary, counts binary, toxic boolean").toArrow()
+    texts = [(np.frombuffer(h, np.uint64), np.frombuffer(n, np.uint8)) for h, n in zip(got.column("words").to_pylist(), got.column("counts").to_pylist(), strict=True)]
+    return texts, np.array(got.column("toxic").to_pylist(), bool)
 
 
 def score(docs: DataFrame, model: Ordinal, limit: float = 0.5, whole: bool = False) -> DataFrame:
@@ -135,7 +152,7 @@ def score(docs: DataFrame, model: Ordinal, limit: float = 0.5, whole: bool = Fal
     return common.with_columns(docs, "severity double, p_toxic double, grade int, toxic boolean", compute, whole)
 
 
-def grade_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000, whole: bool = False) -> DataFrame:
-    model = fit(*labelled_sample(docs, labels, sample))
+def grade_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes: int = 32 << 20, whole: bool = False) -> DataFrame:
+    model = fit(*labelled_sample(docs, labels, sample, sample_bytes))
     common.release()
     return score(docs, model, whole=whole)
