@@ -1,64 +1,5 @@
-"""A training corpus from `documents`: five stages, each written and read again as the next one's documents.
+"""The corpus pipeline: its stages in order, and a run of all of them over `documents`."""
 
-Every stage but the last returns the columns of `documents`. Rows with repeated doc_ids stand for one document in the
-stages that decide by id. Null and empty texts: language ID rejects them (no letter).
-"""
+from urlatlas.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from urlatlas.llm import exact_dedup, language_id, ngram_join, packing, toxicity
-from urlatlas.llm.common import checkpoint_dir, crc_of_id, documents
-from urlatlas.llm.queries import pattern, tokenizer
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Documents whose id is not among the rejected ones; a null id is never rejected."""
-    return docs.select(*COLUMNS).join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without any language: no text, or no letter in it. Whether anything was learned doesn't matter."""
-    found = language_id.identify(docs.select(*COLUMNS), crc_of_id() % 5 != 0, whole=True)
-    return found.where("lettered").select("row.*")
-
-
-def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that are more likely toxic than not."""
-    return toxicity.grade_toxicity(docs.select(*COLUMNS), documents(spark, sf_dir, "labels"), whole=True).where("not toxic").select("row.*")
-
-
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id stays."""
-    found = exact_dedup.group_copies(docs.select(*COLUMNS), keep="smallest")
-    return found.where("kept").select("doc_id", F.col("norm").alias("text"), "row.lang", "row.source", "row.n_chars")
-
-
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest id stays."""
-    return _without(docs, ngram_join.similar_groups(docs, width=5, percent=80).where("component_id <> doc_id"))
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), pattern())
-
-
-STAGES = [("language_id", language), ("toxicity", toxic), ("exact_dedup", exact), ("near_duplicates", near), ("packing", pack)]
-ORACLE_SQL = None  # SQL can't express the trained stages; tests hold each stage against brute force
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            path = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
