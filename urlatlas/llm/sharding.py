@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve: metadata dimensions are quantised by quantiles over all rows, rows are sorted by their
 index on the curve, and the sorted rows are cut into runs of equal counts. Rows close in all dimensions share few files,
 so a reader prunes by any of them. Whole strings are quantised: each value has a cell of its own, or if there are more values
-than cells, cells hold runs of values with about equal counts of rows.
+than cells, cells hold runs of values with about equal counts of rows. Quantiles of numbers are approximate.
 
 Cases: null text counts as empty; a null dimension sorts before all values; very long texts only give a size and hashes; ties on the curve are ordered by the text's hash, then doc_id, so equal
 texts of equal metadata are neighbours, and a hot cell is cut like any other run; repeated rows keep a place each; an empty
