@@ -43,6 +43,45 @@ def test_query_matches_the_standard_library(spark, queries):
     assert [r["query"] for r in rows] == want
 
 
+ODD_URLS = ["http://e.com?x=/a//b", "?a//b", "#//e.com/", "http:///e.com//x", "//", "///", "a//b", "http:e//x", "http://a@b@c.com:1/x@y", "http://e.com:/", "http://e.com:80:80/", "http://[::1]x:80/", "http://[::1]", "http://[v1.a]:7/", "http://a]b/", "http://e.com/a;b/c;d", "http://e.com/;x", "http://e.com;x/", "http://e.com/%zz?%zz=%", "ht\ttp://e\n.com/a\tb", "\u00a0http://e.com/ \u2003", "http://e.com/./.", "http://e.com/..a/.b/...", "ftp://e.com:21/", "ftps://e.com:0990/", "http://e.com:00080/", "http://e.com:99999999999999999999999999999999999999999/", "HTTP://E.com#?//", "http://?q", "http://#f", "http://e.com/?=&=&&a==b", "x-y.z+1://h/p;q", "1x://h/", "-x://h", "://h", "http://e.com/\u00e9?\u00e9=\u65e5"]
+
+
+def test_parts_by_one_pattern(spark):
+    """Against the standard library's pattern for the parts of a URL, cut as the rules say."""
+    import re
+
+    for r in ingest.components(spark.createDataFrame([(u,) for u in ODD_URLS], "url string")).collect():
+        clean = re.sub(r"[\t\r\n]", "", r["url"].strip())
+        m = re.match(r"(?:([A-Za-z][A-Za-z0-9+.\-]*):)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?", clean)
+        at = m[2].rpartition("@")[2] if m else ""
+        port = ""
+        if "[" in at or "]" in at:
+            found = re.fullmatch(r"\[([0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*|v[0-9A-Fa-f]+\.[^\]]+)\](?::([0-9]*))?", at)
+            host, port = (found[1], found[2] or "") if found else ("", "")
+        else:
+            host, _, port = at.partition(":")
+        reason = "no host" if not host else "bad port" if port and not (port.isdigit() and int(port) <= 65535) else None
+        assert r["reject_reason"] == reason, r
+        if reason:
+            assert {r[c] for c in ("scheme", "host", "port", "path", "query", "path_query")} == {None}
+            continue
+        scheme = (m[1] or "http").lower()
+        number = int(port) if port else None
+        assert (r["scheme"], r["host"]) == (scheme, host.lower())
+        assert r["port"] == (None if number == {"http": 80, "https": 443, "ftp": 21, "ftps": 990}.get(scheme) else number)
+        kept, cut = [], re.sub(r";[^/]*$", "", m[3]) if scheme in ("http", "ftp") else m[3]
+        for part in cut.split("/"):
+            kept = kept[:-1] if part == ".." else kept + [part] * (part not in ("", "."))
+        assert r["path"] == "/" + "/".join(kept) + "/" * (cut.endswith("/") and bool(kept))
+
+
+def test_every_expression_is_evaluated_once(spark):
+    """The plan of all parts, filtered, has few calls of regular expressions and no copy of them."""
+    df = ingest.components(spark.createDataFrame([("http://e.com/",)], "url string")).where("reject_reason is null")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") + plan.count("RLIKE") <= 10 and len(plan) < 20_000
+
+
 def test_ids(spark):
     known = {"example.com": (-8402009919309104269, "8b"), "example.org": (4627260942063550277, "40"), "test.com": (-5379317987878038173, "b5"), "another.net": (4446529915994598432, "3d")}
     rows = ingest.normalise(spark.createDataFrame([(f"https://{d}/page1",) for d in known], "url string"), 0).collect()

@@ -1,5 +1,5 @@
-"""Ids by XXH3, which Spark doesn't have: one Arrow pass gives the URL's id and, once for each distinct host of a batch, the
-host in ASCII form, its registered domain and the domain's id."""
+"""Ids by XXH3, which Spark doesn't have, in Arrow functions of their own, so that those nobody asks for are left out: the
+URL's id, and, once for each distinct host of a batch, the host in ASCII form, its registered domain and the domain's id."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .suffixes import Suffixes
 
-SCHEMA = "url_id long, host string, domain string, domain_id long"
+SCHEMA = "host string, domain string, domain_id long"
 
 
 def signed(h: int) -> int:
@@ -31,20 +31,30 @@ def ascii_host(host: str) -> str:
         return host
 
 
-def identify(suffixes: Suffixes):
-    """(raw url, host) to the struct of SCHEMA; null where the host is."""
+def named(suffixes: Suffixes):
+    """Host to the struct of SCHEMA; null where the host is."""
 
     @F.pandas_udf(SCHEMA)
-    def run(url: pd.Series, host: pd.Series) -> pd.DataFrame:
+    def run(host: pd.Series) -> pd.DataFrame:
+        at, hosts = pd.factorize(host)  # a null is -1, which takes the last place
+        hosts = [ascii_host(h) for h in hosts]
+        domains = [suffixes.registered(h) for h in hosts]
+        take = lambda x, kind: pd.Series([*x, None], dtype=kind).take(at).reset_index(drop=True)
+        return pd.DataFrame({"host": take(hosts, object), "domain": take(domains, object), "domain_id": take([xxh3(d) for d in domains], "Int64")})
+
+    return run
+
+
+def url_id(url: str | Column) -> Column:
+    """A URL's id; null for null."""
+
+    @F.pandas_udf("long")
+    def run(url: pd.Series) -> pd.Series:
         from xxhash import xxh3_64_intdigest
 
-        known = {h: (a := ascii_host(h), d := suffixes.registered(a), xxh3(d)) for h in host.dropna().unique()}
-        nothing = (None, None, None)
-        rows = [known.get(h, nothing) for h in host]
-        ids = [signed(xxh3_64_intdigest(u.encode())) if r[0] is not None else None for u, r in zip(url, rows, strict=True)]
-        return pd.DataFrame({"url_id": pd.array(ids, "Int64"), "host": [r[0] for r in rows], "domain": [r[1] for r in rows], "domain_id": pd.array([r[2] for r in rows], "Int64")})
+        return pd.Series([None if u is None else signed(xxh3_64_intdigest(u.encode())) for u in url], dtype="Int64")
 
-    return run
+    return run(url)
 
 
 def prefix(domain_id: Column, digits: int = 2) -> Column:

@@ -6,35 +6,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions import ids, suffixes, urls
+from ..functions import ids, suffixes
+from ..functions.urls import parse as components
 from ..sources import inputs, lake
 from .registry import DatasetRegistry
 
 
-def components(df: DataFrame, url: str = "url") -> DataFrame:
-    """Adds scheme, host, port, path, query, path_query and reject_reason; host is not yet in ASCII form."""
-    u = F.col(url)
-    parts = df.withColumn("reject_reason", urls.reject_reason(u))
-    ok = F.col("reject_reason").isNull()
-    for name, value in (("scheme", urls.scheme(u)), ("host", urls.raw_host(u)), ("port", urls.port(u)), ("path", urls.path(u)), ("query", urls.query(u))):
-        parts = parts.withColumn(name, F.when(ok, value))
-    return parts.withColumn("path_query", urls.path_query(F.col("path"), F.col("query")))
-
-
 def normalise(df: DataFrame, dataset_id: int | Column, settings: Settings = Settings()) -> DataFrame:
     """Rows of the lake. URLs that can't be stored are left out (see `rejected`); repeated URLs stay."""
     dataset = F.lit(dataset_id) if isinstance(dataset_id, int) else dataset_id
     parts = components(df.select("url", dataset.cast("int").alias("dataset_id"))).where(F.col("reject_reason").isNull())
-    named = parts.withColumn("id", ids.identify(suffixes.load(settings.suffix_list))("url", "host"))
+    named = parts.withColumn("id", ids.named(suffixes.load(settings.suffix_list))("host")).withColumn("url_id", ids.url_id("url"))
     return named.select(
-        F.col("id.domain_id").alias("domain_id"), F.col("id.url_id").alias("url_id"), "scheme", F.col("id.host").alias("host"), "path_query",
+        F.col("id.domain_id").alias("domain_id"), "url_id", "scheme", F.col("id.host").alias("host"), "path_query",
         F.col("id.domain").alias("domain"), "dataset_id", ids.prefix(F.col("id.domain_id"), settings.prefix_digits).alias("domain_prefix"),
     )
 
 
 def rejected(df: DataFrame) -> DataFrame:
     """URLs that can't be stored, and why."""
-    return df.select("url", urls.reject_reason(F.col("url")).alias("reason")).where(F.col("reason").isNotNull())
+    return components(df.select("url")).select("url", F.col("reject_reason").alias("reason")).where(F.col("reason").isNotNull())
 
 
 def ingest(spark: SparkSession, df: DataFrame, name: str, base: str, settings: Settings = Settings(), mode: str = "append") -> int:

@@ -25,8 +25,8 @@ def datasets(rows: DataFrame) -> DataFrame:
 def normalised(spark: SparkSession, sf_dir: str, sql: str = CORPUS_SQL) -> DataFrame:
     """The corpus's components with the registered domain; rejected rows too."""
     parts = ingest.components(corpus(spark, sf_dir, sql))
-    named = parts.withColumn("id", ids.identify(suffixes.load())("url", "host"))
-    return named.withColumn("domain", F.col("id.domain")).withColumn("host", F.col("id.host")).withColumn("url_id", F.col("id.url_id")).withColumn("domain_hash", F.col("id.domain_id")).drop("id")
+    named = parts.withColumn("id", ids.named(suffixes.load())("host")).withColumn("url_id", ids.url_id("url"))
+    return named.withColumn("domain", F.col("id.domain")).withColumn("host", F.col("id.host")).withColumn("domain_hash", F.col("id.domain_id")).drop("id")
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +75,9 @@ def domain_dictionary(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
-    rows = stored(spark, sf_dir).select("domain", "dataset", "row_id")
-    return rows.join(domain_ids(rows), "domain").join(F.broadcast(datasets(corpus(spark, sf_dir))), "dataset")
+    """Distinct domains of each dataset, by ids; the corpus is read once."""
+    pairs = stored(spark, sf_dir).select("domain", "dataset").distinct().persist()
+    return pairs.join(domain_ids(pairs), "domain").join(F.broadcast(datasets(corpus(spark, sf_dir))), "dataset")
 
 
 def domain_membership(spark, sf_dir):
@@ -103,17 +104,25 @@ def _page(offset: int, limit: int):
     return run
 
 
+def _new_domains(rows: DataFrame) -> DataFrame:
+    return rows.where("half = 1").select("domain").distinct().join(rows.where("half = 0").select("domain").distinct(), "domain", "left_anti")
+
+
+def _halves(spark, sf_dir) -> DataFrame:
+    """The domains of even rows and those of odd ones."""
+    return stored(spark, sf_dir).select("domain", (F.col("row_id") % 2).alias("half")).distinct()
+
+
 def new_domains_antijoin(spark, sf_dir):
-    rows = stored(spark, sf_dir)
-    return rows.where("row_id % 2 = 1").select("domain").distinct().join(rows.where("row_id % 2 = 0").select("domain").distinct(), "domain", "left_anti")
+    return _new_domains(_halves(spark, sf_dir).persist())
 
 
 def incremental_dictionary(spark, sf_dir):
     """Ids of the even rows' domains stay; new ones follow in order."""
-    rows = stored(spark, sf_dir)
-    old = domain_ids(rows.where("row_id % 2 = 0"))
+    rows = _halves(spark, sf_dir).persist()
+    old = domain_ids(rows.where("half = 0"))
     first = old.agg(F.count(F.lit(1))).first()[0]
-    return old.select("domain", "domain_id").unionByName(index.dense_ids(new_domains_antijoin(spark, sf_dir), "domain", "domain_id", first))
+    return old.select("domain", "domain_id").unionByName(index.dense_ids(_new_domains(rows), "domain", "domain_id", first))
 
 
 def incremental_membership(spark, sf_dir):
