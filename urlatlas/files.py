@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,19 +31,20 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Whole or not at all: a temporary file takes the place of the old one."""
+    """Whole or not at all: a temporary file takes the place of the old one in a single rename."""
     fs, p, jvm = _at(spark, path)
-    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    p = fs.makeQualified(p)
+    fresh = jvm.org.apache.hadoop.fs.Path(f"{p.toString()}.{uuid.uuid4().hex}.new")
     fs.mkdirs(p.getParent())
     stream = fs.create(fresh, True)
     try:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(fresh, p):
-        raise OSError(f"can't write {path}")
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fresh, p, how)
 
 
 def read_json(spark: SparkSession, path: str):

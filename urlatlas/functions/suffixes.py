@@ -46,8 +46,9 @@ class Suffixes:
 
 @lru_cache
 def load(path: str | None = None) -> Suffixes:
+    """The list at `path`, at $URLATLAS_SUFFIX_LIST, or the system's. Without one, domains would silently be wrong."""
     path = path or os.environ.get("URLATLAS_SUFFIX_LIST", DEFAULT_LIST)
     if not os.path.exists(path):
-        return Suffixes(())
+        raise FileNotFoundError(f"no public suffix list at {path}: name one by `suffix_list` or URLATLAS_SUFFIX_LIST")
     with open(path, encoding="utf-8") as f:
         return Suffixes(f.read().splitlines())

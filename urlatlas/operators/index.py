@@ -21,6 +21,8 @@ from ..functions import ids
 from ..sources import lake
 from .manifest import IndexVersion, Manifest
 
+#: Files that are read by name, and whose row groups are broadcast.
+MOST_PATHS = 20_000
 TABLES = ("domains", "membership", "postings", "files", "counts")
 
 
@@ -34,7 +36,7 @@ def dense_ids(df: DataFrame, key: str, column: str, first: int = 0) -> DataFrame
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("at", F.monotonically_increasing_id())
-    placed = placed.persist()  # both reads below must see the same ranges
+    placed = placed.persist()  # both reads below must see the same ranges; Spark lets it go with the last reference
     sizes = {r["p"]: r["n"] for r in placed.groupBy(F.shiftright("at", 33).alias("p")).count().withColumnRenamed("count", "n").collect()}
     before, total = [], first
     for p in sorted(sizes):
@@ -80,12 +82,21 @@ def row_group_starts(base: str, paths: DataFrame) -> DataFrame:
     return paths.select("path").repartition(max(1, min(200, int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))))).mapInPandas(run, "path string, row_group int, first long, last long")
 
 
-def facts(spark: SparkSession, base: str, known: DataFrame) -> DataFrame:
-    """domain, dataset_id, path, row_group, urls of the known files, one row for each that has any."""
-    rows = spark.read.schema(lake.SCHEMA).parquet(lake.root(base)).select("domain", "dataset_id", relative(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.row_index").alias("row"))
-    rows = rows.join(known.select("path"), "path", "left_semi")
+def facts(spark: SparkSession, base: str, known: DataFrame, by_name: bool = False) -> DataFrame:
+    """domain, dataset_id, path, row_group, urls of the known files, one row for each that has any. `by_name`: the files are
+    read by their names, those of an incremental build; else the lake is read whole."""
+    count = known.count()
+    if by_name and count <= MOST_PATHS:
+        rows = lake.read_files(spark, base, [r["path"] for r in known.select("path").toLocalIterator()])
+    elif by_name:  # very many new files: their datasets' folders
+        own = [r["dataset_id"] for r in known.select("dataset_id").distinct().collect()]
+        rows = lake.read(spark, base).where(F.col("dataset_id").isin(own))
+    else:
+        rows = lake.read(spark, base)
+    rows = rows.select("domain", "dataset_id", relative(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.row_index").alias("row"))
     groups = row_group_starts(base, known).groupBy("path").agg(F.sort_array(F.collect_list("last")).alias("lasts"))
-    # the row group's number is how many row groups end before the row; files are few against rows
+    groups = F.broadcast(groups) if count <= MOST_PATHS else groups
+    # the row group's number is how many row groups end before the row; other files than the known ones drop out
     placed = rows.join(groups, "path").withColumn("row_group", F.size(F.filter("lasts", lambda x: x < F.col("row"))).cast("int"))
     return placed.groupBy("domain", "dataset_id", "path", "row_group").agg(F.count(F.lit(1)).alias("urls"))
 
@@ -136,7 +147,7 @@ def build(spark: SparkSession, base: str, settings: Settings = Settings(), incre
     if not files.exists(spark, lake.root(base)):
         found = spark.createDataFrame([], "domain string, dataset_id int, path string, row_group int, urls long")
     else:
-        found = facts(spark, base, numbered)
+        found = facts(spark, base, numbered, by_name=bool(old))
     found = found.persist()
     try:
         names = found if dataset_ids is None or old else found.where(F.col("dataset_id").isin(dataset_ids))

@@ -29,10 +29,14 @@ def rejected(df: DataFrame) -> DataFrame:
 
 
 def ingest(spark: SparkSession, df: DataFrame, name: str, base: str, settings: Settings = Settings(), mode: str = "append") -> int:
-    """Registers a dataset and writes its URLs; gives its id."""
+    """Registers a dataset and writes its URLs; gives its id. `mode` overwrite replaces all that the dataset had."""
     inputs.validate(df, ("url",))
     dataset_id = DatasetRegistry(spark, base).register(name)
-    lake.write(normalise(df, dataset_id, settings), base, settings, mode)
+    rows = normalise(df, dataset_id, settings)
+    if mode == "overwrite":
+        lake.replace(rows, base, dataset_id, settings)
+    else:
+        lake.write(rows, base, settings, mode)
     return dataset_id
 
 

@@ -19,9 +19,9 @@ class DatasetRegistry:
             if found := files.read_json(spark, self.path):
                 self.ids = {k: int(v) for k, v in found["datasets"].items()}
                 self.next = max(int(found.get("next_dataset_id", 0)), 1 + max(self.ids.values(), default=-1))
-        except (ValueError, KeyError, AttributeError, TypeError):
-            print(f"{self.path} can't be read; it starts anew")
-            self.ids, self.next = {}, 0
+        except (ValueError, KeyError, AttributeError, TypeError) as e:
+            # ids that start anew would put a new dataset into another one's partitions
+            raise ValueError(f"{self.path} can't be read; mend it, or reset the registry of an empty lake") from e
 
     def register(self, name: str) -> int:
         """The name's id, a new one if it has none."""

@@ -14,6 +14,14 @@ from ..operators.manifest import Manifest
 from ..sources import lake
 
 
+#: Files that are read by name.
+MOST_PATHS = 1000
+
+
+class NotFound(ValueError):
+    """A domain that no dataset has, or that a dataset doesn't have."""
+
+
 class QueryService:
     """Reads one version, the current one by default, as long as it lives."""
 
@@ -40,7 +48,7 @@ class QueryService:
     def _known(self, domain: str) -> int:
         found = self.domain_id(domain)
         if found is None:
-            raise ValueError(f"Domain not found: {domain}")
+            raise NotFound(f"Domain not found: {domain}")
         return found
 
     def datasets_for_domain(self, domain: str) -> DataFrame:
@@ -53,11 +61,19 @@ class QueryService:
 
     def _rows(self, domain: str, dataset_id: int) -> DataFrame:
         if not self.table("membership").where((F.col("domain_id") == self._known(domain)) & F.array_contains("dataset_ids", dataset_id)).limit(1).count():
-            raise ValueError(f"dataset {dataset_id} does not contain domain {domain}")
-        # literals for both partition columns: only the domain's own partition is listed and read
-        rows = lake.read(self.spark, self.base).where((F.col("dataset_id") == dataset_id) & (F.col("domain_prefix") == ids.prefix_of(domain, self.settings.prefix_digits)) & (F.col("domain") == domain))
+            raise NotFound(f"dataset {dataset_id} does not contain domain {domain}")
+        # the files that the postings name; where they are very many, the domain's partition
+        prefix = ids.prefix_of(domain, self.settings.prefix_digits)
+        held = sorted({file_id for file_id, _ in self.postings(domain, dataset_id)})
+        names = self.table("files").where((F.col("dataset_id") == dataset_id) & (F.col("domain_prefix") == prefix)).select("path", "file_id")
+        if len(held) <= MOST_PATHS:
+            names = names.where(F.col("file_id").isin(held))
+            rows = lake.read_files(self.spark, self.base, [r["path"] for r in names.collect()])
+        else:
+            rows = lake.read(self.spark, self.base).where((F.col("dataset_id") == dataset_id) & (F.col("domain_prefix") == prefix))
+        rows = rows.where(F.col("domain") == domain)
         placed = rows.select("url_id", urls.rebuilt(F.col("scheme"), F.col("host"), F.col("path_query")).alias("url"), relative(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.row_index").alias("row"))
-        return placed.join(F.broadcast(self.table("files").where((F.col("dataset_id") == dataset_id) & (F.col("domain_prefix") == ids.prefix_of(domain, self.settings.prefix_digits))).select("path", "file_id")), "path")
+        return placed.join(F.broadcast(names), "path")
 
     def urls_page(self, domain: str, dataset_id: int, offset: int = 0, limit: int | None = None) -> tuple[DataFrame, int | None]:
         """A page of (url_id, url) in the order of files and rows, and the next offset if the page is full."""

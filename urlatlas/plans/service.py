@@ -7,7 +7,7 @@ import re
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlsplit
 
-from .query import QueryService
+from .query import NotFound, QueryService
 
 
 def answer(service: QueryService, target: str) -> tuple[int, dict]:
@@ -27,14 +27,16 @@ def answer(service: QueryService, target: str) -> tuple[int, dict]:
         service._limits(given.get("offset", 0), given.get("limit"))
     except IndexError as e:
         return 422, {"detail": str(e)}
+    except NotFound as e:
+        return 404, {"detail": str(e)}
     except ValueError as e:
-        return (404 if "omain" in str(e) else 422), {"detail": str(e)}
+        return 422, {"detail": str(e)}
     except Exception as e:
         return 500, {"detail": str(e)[:500]}
     try:
         page, following = service.urls_page(domain, int(found[2]), **given)
         return 200, {"domain": domain, "dataset_id": int(found[2]), "total_est": None, "items": [{"url_id": r["url_id"], "url": r["url"], "ts": None} for r in page.collect()], "next_offset": following}
-    except ValueError as e:
+    except NotFound as e:
         return 404, {"detail": str(e)}
     except Exception as e:
         return 500, {"detail": str(e)[:500]}

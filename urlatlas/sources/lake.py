@@ -46,6 +46,22 @@ def read(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(root(base))
 
 
+def read_files(spark: SparkSession, base: str, paths: list[str]) -> DataFrame:
+    """The URLs of these files, by their paths below the base; nothing else is listed or opened."""
+    if not paths:
+        return read(spark, base).where(F.lit(False))
+    return spark.read.schema(SCHEMA).option("basePath", root(base)).parquet(*[f"{base}/{p}" for p in paths])
+
+
+def replace(df: DataFrame, base: str, dataset_id: int, settings: Settings = Settings()) -> None:
+    """The dataset's rows are those of `df` afterwards: its files of before go when the new ones are there."""
+    spark = df.sparkSession
+    old = [f"{partition_path(base, d, p)}/{name}" for d, p in partitions(spark, base, dataset_id) for name, _ in partition_files(spark, base, d, p)]
+    write(df, base, settings, "append", dataset_id)
+    for path in old:
+        files.delete(spark, path)
+
+
 def partitions(spark: SparkSession, base: str, dataset_id: int | None = None) -> list[tuple[int, str]]:
     """(dataset, prefix) in order, empty folders too; other folders don't count."""
     out = []
