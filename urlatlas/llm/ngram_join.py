@@ -34,6 +34,8 @@ from . import common
 #: Shingles that one batch of texts, and one bucket of hashes, hold on average.
 BATCH_SHINGLES = 1_000_000
 BUCKET_SHINGLES = 2_000_000
+#: Links from which on a step takes a further write for the sake of nodes that have a large share of them.
+MANY_EDGES = 2_000_000
 
 
 def _row_hash() -> F.Column:
@@ -260,8 +262,9 @@ def tree_join(members: DataFrame, percent: int, sides: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(key, label): the smallest key of each component of (a, b), by alternating large-star and small-star steps. The least
-    neighbours are written down before edges join them, so that adaptive execution can split a node with very many edges."""
+    """(key, label): the smallest key of each component of (a, b), by alternating large-star and small-star steps. Of many
+    edges, the least neighbours are written down before edges join them, so that adaptive execution can split the join at a
+    node that has very many; it can't split one that an aggregation feeds."""
 
     def summary(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
@@ -270,7 +273,8 @@ def components(links: DataFrame) -> DataFrame:
     before = summary(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = common.cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = common.cut_lineage(least) if before[0] > MANY_EDGES else least
         large = edges.select(F.col("b").alias("c"), F.col("a")).join(least.select(F.col("a").alias("c"), "m"), "c").select("a", F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         pairs = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
