@@ -286,6 +286,15 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "key").unionByName(edges.select(F.col("b").alias("key"), F.col("b").alias("label")).distinct())
 
 
+def joined_components(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, label) of labels(key, label) after further links: only the components that these join are looked at again."""
+    end = lambda df, c: df.join(labels.select(F.col("key").alias(c), F.col("label").alias(f"{c}_label")), c, "left").withColumn(c, F.coalesce(f"{c}_label", c))
+    between = end(end(common.cut_lineage(links.select("a", "b").distinct()), "a"), "b").select("a", "b")
+    more = common.cut_lineage(components(between))
+    moved = labels.join(more.select(F.col("key").alias("label"), F.col("label").alias("to")), "label", "left").select("key", F.coalesce("to", "label").alias("label"))
+    return moved.unionByName(more.join(labels.select("key"), "key", "left_anti").select("key", "label"))
+
+
 def _probe_groups(probes: DataFrame) -> DataFrame:
     """probe, size: the groups of sets that share a probe, those left out that lie within another one."""
     within = [F.coalesce((F.min(e) == F.max(e)) & (F.count(e) == F.count(F.lit(1))), F.lit(False)) for e in ("e0", "e1", "e2")]
@@ -331,12 +340,10 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: in
         return tree_join(full, percent, sides)
 
     cell = lambda d: d.select(F.struct("probe", "i", F.lit(-1).alias("j")).alias("cell"), "key")
-    links = common.cut_lineage(dealt(small.unionByName(cell(blocks(1))), None, False))
-    labels = common.cut_lineage(components(links))
+    labels = common.cut_lineage(components(dealt(small.unionByName(cell(blocks(1))), None, False)))
     if member.where(F.col("size") > block).limit(1).count():
         for salt in (2, 3):
-            links = common.cut_lineage(links.unionByName(dealt(cell(blocks(salt)), labels, False)))
-            labels = common.cut_lineage(components(links))
+            labels = common.cut_lineage(joined_components(dealt(cell(blocks(salt)), labels, False), labels))
         placed = blocks(3).join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
         # blocks that still hold another component than the group's smallest are compared with all others
         kinds = placed.groupBy("probe", "i").agg(F.min("label").alias("least"), F.max("label").alias("most"))
@@ -345,8 +352,7 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: in
         pairs = p.join(q, (F.col("p.probe") == F.col("q.probe")) & (F.col("p.i") < F.col("q.i")) & ~joined_already).select("p.probe", F.col("p.i").alias("i"), F.col("q.i").alias("j"))
         if pairs.limit(1).count():
             side = lambda c, v: pairs.join(placed.select("probe", F.col("i").alias(c), "key"), ["probe", c]).select(F.struct("probe", "i", "j").alias("cell"), "key", F.lit(v).alias("side"))
-            links = common.cut_lineage(links.unionByName(dealt(side("i", 0).unionByName(side("j", 1)), labels, True)))
-            labels = common.cut_lineage(components(links))
+            labels = common.cut_lineage(joined_components(dealt(side("i", 0).unionByName(side("j", 1)), labels, True), labels))
     named = reps.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = named.join(least, "label").select("key", "component_id")
