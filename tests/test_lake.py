@@ -8,7 +8,7 @@ from urlatlas.operators.manifest import IndexVersion, Manifest
 from urlatlas.operators.registry import DatasetRegistry
 from urlatlas.plans import service
 from urlatlas.plans.query import QueryService
-from urlatlas.sources import inputs, lake
+from urlatlas.sources import inputs, lake, tables
 from urlatlas.streaming.ingest import stream_ingest
 
 FIRST = ["https://alpha-shop.com/cart", "https://alpha-shop.com/list?page=2", "http://www.alpha-shop.com/", "https://beta-news.org/today", "https://gamma-wiki.com/Spark"]
@@ -142,6 +142,44 @@ def test_incremental_reads_new_files_only(spark, tmp_path):
     assert read.agg(F.sum("urls")).first()[0] == len(SECOND)
 
 
+def test_ingest_counts(spark, tmp_path):
+    base = str(tmp_path)
+    found = ingest.ingest_counted(spark, frame(spark, [*FIRST, None, "", "x", "http://a.com:99999/", ""]), "one", base)
+    assert (found.rows, found.stored) == (10, 5)
+    assert found.rejected == {"null": 1, "empty": 2, "no host": 1, "bad port": 1}
+    assert found.files == sum(x["files"] for x in lake.storage_stats(spark, base)["datasets"].values()) and found.bytes > 0
+    again = ingest.ingest_counted(spark, frame(spark, SECOND), "one", base, mode="overwrite")
+    assert (again.rows, again.stored, again.rejected) == (4, 4, {})
+    assert lake.read(spark, base).count() == 4
+    nothing = ingest.ingest_counted(spark, frame(spark, [None]), "two", base)
+    assert (nothing.rows, nothing.stored, nothing.files, nothing.bytes) == (1, 0, 0, 0)
+
+
+def test_ingest_of_an_empty_table(spark, tmp_path):
+    found = ingest.ingest_counted(spark, spark.createDataFrame([], "url string"), "none", str(tmp_path))
+    assert (found.rows, found.stored, found.rejected, found.files) == (0, 0, {}, 0)
+
+
+def test_tsv(spark, tmp_path):
+    rows = [(0, "00", "a\tb"), (1, None, 'say "x"\nand'), (2, "3d", "")]
+    kind = "file_id int, domain_prefix string, path string"
+    assert tables.write_tsv(spark.createDataFrame(rows, kind), str(tmp_path / "t"))
+    assert sorted(tuple(r) for r in tables.read_tsv(spark, str(tmp_path / "t"), kind).collect()) == rows
+    assert not tables.write_tsv(spark.createDataFrame([], kind), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
+
+
+def test_lookups_and_stored_top(spark, base):
+    q = QueryService(spark, base)
+    record = q.file(0)
+    assert record[0] == 0 and q.file_id(record[2]) == 0
+    assert q.file(99) is None and q.file_id("urls/none") is None
+    q.materialise_top(2)
+    assert [tuple(r) for r in q.top_urls(ALPHA, 0).orderBy("rank").collect()] == [(u, 1, k + 1) for k, u in enumerate(sorted(FIRST[:3])[:2])]
+    acl = spark.createDataFrame([(1, "x")], "dataset_id int, note string")
+    assert [(r["dataset_id"], r["urls"]) for r in q.allowed(q.datasets_for_domain(ALPHA), acl).collect()] == [(1, 1)]
+
+
 def test_inputs(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("url\tdomain\nhttp://a.com/\ta.com\n")
     assert inputs.read_urls(spark, str(tmp_path / "a.tsv")).first()["url"] == "http://a.com/"

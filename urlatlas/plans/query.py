@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import ids, suffixes, urls
-from ..operators.index import read_table, relative
+from ..operators.index import index_path, read_table, relative
 from ..operators.manifest import Manifest
 from ..sources import lake
 
@@ -33,6 +33,8 @@ class QueryService:
         self.spark, self.base, self.version, self.settings = spark, base, found.version, settings
         self.domain_id = lru_cache(1000)(self._domain_id)
         self.domain = lru_cache(1000)(self._domain)
+        self.file = lru_cache(1000)(self._file)
+        self.file_id = lru_cache(1000)(self._file_id)
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.base, self.version, name)
@@ -45,6 +47,15 @@ class QueryService:
         row = self.table("domains").where(F.col("domain_id") == domain_id).select("domain").first()
         return row and row[0]
 
+    def _file(self, file_id: int) -> tuple[int, str, str] | None:
+        """(dataset_id, domain_prefix, path) of a file; none for an unknown id."""
+        row = self.table("files").where(F.col("file_id") == file_id).select("dataset_id", "domain_prefix", "path").first()
+        return row and tuple(row)
+
+    def _file_id(self, path: str) -> int | None:
+        row = self.table("files").where(F.col("path") == path).select("file_id").first()
+        return row and row[0]
+
     def _known(self, domain: str) -> int:
         found = self.domain_id(domain)
         if found is None:
@@ -104,6 +115,17 @@ class QueryService:
         """Only datasets that the caller's list of dataset_id has."""
         return datasets.join(acl.select("dataset_id"), "dataset_id", "left_semi")
 
+    def materialise_top(self, k: int = 1000) -> None:
+        """Stores the k most frequent URLs of each domain and dataset beside the version's tables, sorted for point queries."""
+        rows = lake.read(self.spark, self.base).select("domain", "dataset_id", urls.rebuilt(F.col("scheme"), F.col("host"), F.col("path_query")).alias("url"))
+        counted = rows.groupBy("domain", "dataset_id", "url").agg(F.count(F.lit(1)).alias("n"))
+        best = top_k(counted, ["domain", "dataset_id"], [F.desc("n"), F.asc("url")], k)
+        best.repartitionByRange("domain", "dataset_id", "rank").sortWithinPartitions("domain", "dataset_id", "rank").write.mode("overwrite").option("compression", "zstd").parquet(index_path(self.base, self.version, "top_urls"))
+
+    def top_urls(self, domain: str, dataset_id: int) -> DataFrame:
+        """url, n, rank from the stored top URLs (see `materialise_top`)."""
+        return self.table("top_urls").where((F.col("domain") == domain) & (F.col("dataset_id") == dataset_id)).select("url", "n", "rank")
+
     def top_paths(self, k: int = 10) -> DataFrame:
         """The k most frequent paths of each domain and dataset."""
         counted = lake.read(self.spark, self.base).groupBy("domain", "dataset_id", F.substring_index("path_query", "?", 1).alias("path")).agg(F.count(F.lit(1)).alias("n"))

@@ -9,12 +9,12 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
 from .corpus import CORPUS_SQL, VOLUME_SQL, corpus
 from .functions import ids, suffixes, urls
 from .operators import index, ingest
 from .plans.query import QueryService, top_k
-from .sources import lake
-
+from .sources import lake, tables
 
 
 def datasets(rows: DataFrame) -> DataFrame:
@@ -181,13 +181,16 @@ def ids_xxh3(spark, sf_dir):
 
 
 def distinct_datasets_approx(spark, sf_dir):
-    return stored(spark, sf_dir).groupBy("domain").agg(F.approx_count_distinct("dataset").alias("datasets"))
+    """The sketch's number, exact number beside it, and whether both agree within a sixth (or one)."""
+    found = stored(spark, sf_dir).groupBy("domain", "dataset").agg(F.count(F.lit(1)).alias("n"))
+    both = found.groupBy("domain").agg(F.approx_count_distinct("dataset").alias("sketch"), F.count(F.lit(1)).alias("datasets"))
+    return both.select("domain", "datasets", (F.abs(F.col("sketch") - F.col("datasets")) <= F.greatest(F.lit(1.0), F.col("datasets") / 6)).alias("close"))
 
 
 @lru_cache
 def _built(spark: SparkSession, sf_dir: str) -> str:
     """A lake and index of the corpus in the warehouse, which a session shares."""
-    base = f"{spark.conf.get('spark.sql.warehouse.dir')}/urlatlas-{uuid.uuid4().hex}"
+    base = _folder(spark)
     rows = corpus(spark, sf_dir)
     lake.write(ingest.normalise(rows.join(F.broadcast(datasets(rows)), "dataset"), F.col("dataset_id")), base)
     index.build(spark, base)
@@ -199,8 +202,10 @@ def lake_partition_listing(spark, sf_dir):
 
 
 def postings(spark, sf_dir):
+    """Pairs of the postings, and the prefixes of the files that they name: one each."""
     service = QueryService(spark, _built(spark, sf_dir))
-    return service.table("postings").select("domain_id", "dataset_id", F.size("refs").alias("refs"))
+    refs = service.table("postings").select("domain_id", "dataset_id", F.inline("refs")).join(service.table("files").select("file_id", "domain_prefix"), "file_id", "left")
+    return refs.groupBy("domain_id", F.col("dataset_id").cast("long").alias("dataset_id")).agg(F.count_distinct("domain_prefix").alias("prefixes"))
 
 
 def file_registry(spark, sf_dir):
@@ -212,6 +217,41 @@ def storage_stats(spark, sf_dir):
     return spark.createDataFrame([(k, v["partitions"], v["files"]) for k, v in found["datasets"].items()], "dataset_id int, partitions long, files long")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/urlatlas-{uuid.uuid4().hex}"
+
+
+def ingest_statistics(spark, sf_dir):
+    """What an ingest of one dataset reports of itself."""
+    base, rows = _folder(spark), corpus(spark, sf_dir).where("dataset = 'orders-1'").select("url")
+    found = ingest.ingest_counted(spark, rows, "orders-1", base)
+    files.delete(spark, base)
+    counts = [("stored", found.stored), *found.rejected.items()]
+    return spark.createDataFrame([(found.rows, reason, n) for reason, n in counts], "rows long, outcome string, n long")
+
+
+def registry_tsv(spark, sf_dir):
+    """The dataset registry, written as tab-separated text and read back."""
+    path = f"{_folder(spark)}.tsv"
+    tables.write_tsv(datasets(corpus(spark, sf_dir)), path)
+    return tables.read_tsv(spark, path, "dataset string, dataset_id long")
+
+
+def allowed_datasets(spark, sf_dir):
+    """Datasets of a domain that an access list holds."""
+    service = QueryService(spark, _built(spark, sf_dir))
+    names = datasets(corpus(spark, sf_dir))
+    return service.allowed(service.datasets_for_domain("example.com"), names.where("dataset like 'pages-%'")).join(names, "dataset_id").select("dataset", "urls")
+
+
+def stored_top_urls(spark, sf_dir):
+    """Stored top URLs of a domain in a dataset."""
+    service = QueryService(spark, _built(spark, sf_dir))
+    service.materialise_top(1000)
+    dataset_id = datasets(corpus(spark, sf_dir)).where(F.col("dataset") == "events-click").first()["dataset_id"]
+    return service.top_urls("example.co.uk", dataset_id)
+
+
 def served_domain(spark, sf_dir):
     """Datasets of a domain from the built index, by name."""
     service = QueryService(spark, _built(spark, sf_dir))
@@ -286,6 +326,12 @@ _SQL = {
     "top_urls_per_domain": "SELECT domain, dataset, row_id, scheme || '://' || host || path_query AS url, CAST(row_number() OVER (PARTITION BY domain ORDER BY scheme || '://' || host || path_query, dataset, row_id) AS INTEGER) AS rank FROM stored QUALIFY rank <= 5",
     "versions_keep_last_n": "SELECT version, CAST(row_number() OVER (ORDER BY version DESC) AS INTEGER) AS rank FROM (SELECT DISTINCT dataset || '@' || (row_id % 4) AS version FROM corpus) QUALIFY rank <= 5",
     "served_domain": "SELECT dataset, count(*) AS urls FROM stored WHERE domain = 'example.com' GROUP BY dataset",
+    "distinct_datasets_approx": "SELECT domain, count(DISTINCT dataset) AS datasets, true AS close FROM stored GROUP BY domain",
+    "postings": "SELECT DISTINCT domain_id, dataset_id, CAST(1 AS BIGINT) AS prefixes FROM stored JOIN dictionary USING (domain) JOIN names USING (dataset)",
+    "ingest_statistics": "SELECT sum(n) OVER ()::BIGINT AS rows, outcome, n FROM (SELECT CASE WHEN url IS NULL THEN 'null' WHEN url = '' THEN 'empty' WHEN url LIKE '%:99999%' THEN 'bad port' WHEN url NOT LIKE '%//%' THEN 'no host' ELSE 'stored' END AS outcome, count(*) AS n FROM corpus WHERE dataset = 'orders-1' GROUP BY 1)",
+    "registry_tsv": "SELECT dataset, dataset_id FROM names",
+    "allowed_datasets": "SELECT dataset, count(*) AS urls FROM stored WHERE domain = 'example.com' AND dataset LIKE 'pages-%' GROUP BY dataset",
+    "stored_top_urls": "SELECT url, n, CAST(row_number() OVER (ORDER BY n DESC, url) AS INTEGER) AS rank FROM (SELECT scheme || '://' || host || path_query AS url, count(*) AS n FROM stored WHERE domain = 'example.co.uk' AND dataset = 'events-click' GROUP BY ALL) QUALIFY rank <= 1000",
     "served_urls": "SELECT scheme || '://' || host || path_query AS url, count(*) AS n FROM stored WHERE domain = 'example.co.uk' AND dataset = 'events-click' GROUP BY ALL",
 }
 
@@ -295,7 +341,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         normalize_components, canonical_url, registered_domain, rejected_rows_by_reason, url_dedup_counts, dataset_registry, distinct_domains, domain_dictionary,
         domain_membership, datasets_for_domain, domain_dataset_url_counts, index_stats, new_domains_antijoin, incremental_dictionary, incremental_membership,
         dataset_contains_domain, union_all_batches, common_domains, shard_distribution, top_paths, top_urls_per_domain, url_volume, versions_keep_last_n,
-        ids_xxh3, distinct_datasets_approx, lake_partition_listing, postings, file_registry, storage_stats, served_domain, served_urls,
+        ids_xxh3, distinct_datasets_approx, lake_partition_listing, postings, file_registry, storage_stats, ingest_statistics, registry_tsv, allowed_datasets, stored_top_urls, served_domain, served_urls,
     )
     return {f.__name__: f for f in plain} | {"urls_page": _page(0, 20), "urls_deep_page": _page(150, 50), "urls_missing_page": _page(1_000_000, 50)}
 

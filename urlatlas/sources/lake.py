@@ -56,7 +56,7 @@ def read_files(spark: SparkSession, base: str, paths: list[str]) -> DataFrame:
 def replace(df: DataFrame, base: str, dataset_id: int, settings: Settings = Settings()) -> None:
     """The dataset's rows are those of `df` afterwards: its files of before go when the new ones are there."""
     spark = df.sparkSession
-    old = [f"{partition_path(base, d, p)}/{name}" for d, p in partitions(spark, base, dataset_id) for name, _ in partition_files(spark, base, d, p)]
+    old = list(files_of(spark, base, dataset_id))
     write(df, base, settings, "append", dataset_id)
     for path in old:
         files.delete(spark, path)
@@ -79,6 +79,11 @@ def partition_files(spark: SparkSession, base: str, dataset_id: int, prefix: str
     return [(name, size) for name, folder, size in files.children(spark, partition_path(base, dataset_id, prefix)) if not folder and name.startswith("part-") and name.endswith(".parquet")]
 
 
+def files_of(spark: SparkSession, base: str, dataset_id: int) -> dict[str, int]:
+    """Paths of a dataset's files, with their sizes in bytes."""
+    return {f"{partition_path(base, d, p)}/{name}": size for d, p in partitions(spark, base, dataset_id) for name, size in partition_files(spark, base, d, p)}
+
+
 def read_partition(spark: SparkSession, base: str, dataset_id: int, prefix: str) -> DataFrame:
     if not files.exists(spark, partition_path(base, dataset_id, prefix)):
         raise FileNotFoundError(partition_path(base, dataset_id, prefix))
