@@ -69,27 +69,9 @@ def windows(ids: np.ndarray, starts: np.ndarray, pad: int, chosen: np.ndarray, b
     return row[:, :-1], np.where(inside[:, CONTEXT + 1 :], row[:, CONTEXT + 1 :], -1), text
 
 
-def _attend(m: Model, inputs: np.ndarray):
-    p = m.p
-    fresh = inputs[:, CONTEXT:]
-    q, k, v = p["q"][fresh], p["k"][inputs], p["v"][inputs]
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    a *= np.float32(KEY**-0.5)
-    a += p["near"][_DISTANCE] + _LATER
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    h = np.matmul(a, v)
-    h += p["r"][fresh]
-    h += p["rb"]
-    np.maximum(h, 0, out=h)
-    return q, k, v, a, h
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def _safe(sums: np.ndarray) -> bool:
+    """Whether sums of unshifted exponentials lie far from overflow and underflow."""
+    return not sums.size or bool(sums.min() > 1e-30 and sums.max() < 1e30)
 
 
 class Scorer:
@@ -112,7 +94,6 @@ class Scorer:
         return out if out is not None else self._block(inputs, targets, shift=True)
 
     def _block(self, inputs: np.ndarray, targets: np.ndarray, shift: bool) -> np.ndarray | None:
-        safe = lambda x: not len(x) or bool(x.min() > 1e-30 and x.max() < 1e30)
         p, fresh = self.p, inputs[:, CONTEXT:]
         a = np.matmul(self.q[fresh], p["k"][inputs].transpose(0, 2, 1))
         a += self.bias
@@ -124,7 +105,7 @@ class Scorer:
         order = np.argsort(place, kind="stable")
         order = order[: int(np.count_nonzero(target >= 0))]
         place, mixed = place[order], mixed[order]
-        if not shift and not safe(mixed[:, VALUE]):
+        if not shift and not _safe(mixed[:, VALUE]):
             return None
         h = mixed[:, :VALUE] / mixed[:, VALUE:]
         h += self.r[fresh.ravel()[order]]
@@ -146,7 +127,7 @@ class Scorer:
                 y -= y.max(axis=1, keepdims=True)
             logp[lo:hi] += y[n[: hi - lo], member[lo:hi]]
             whole[lo:hi] *= np.exp(y, out=y) @ self.ones[0]
-        if not shift and not safe(whole):
+        if not shift and not _safe(whole):
             return None
         logp -= np.log(whole)
         out = np.zeros(len(target), np.float32)
@@ -180,49 +161,78 @@ def _sums(n: int, ids: np.ndarray, *rows: np.ndarray) -> list[np.ndarray]:
 
 
 def gradients(m: Model, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss of the targets and its slopes."""
+    """Mean loss of the targets and its slopes. As in scoring, exponentials are shifted only in a block that needs it."""
+    with np.errstate(all="ignore"):
+        out = _slopes(m, inputs, targets, shift=False)
+    return out if out is not None else _slopes(m, inputs, targets, shift=True)
+
+
+def _slopes(m: Model, inputs: np.ndarray, targets: np.ndarray, shift: bool) -> tuple[float, dict[str, np.ndarray]] | None:
     p, fresh = m.p, inputs[:, CONTEXT:]
-    q, k, v, a, h4 = _attend(m, inputs)
-    h, target = h4.reshape(-1, VALUE), targets.ravel()
-    use = np.flatnonzero(target >= 0)
-    place = m.place[target[use]]
-    order = np.argsort(place, kind="stable")
-    use, place = use[order], place[order]
-    c, hu, n = place // CLASS, h[use], max(1, len(use))
+    q, k, v = p["q"][fresh], p["k"][inputs], p["v"][inputs]
+    a = np.matmul(q, k.transpose(0, 2, 1))
+    a *= np.float32(KEY**-0.5)
+    a += p["near"][_DISTANCE] + _LATER
+    if shift:
+        a -= a.max(axis=2, keepdims=True)
+    np.exp(a, out=a)
+    whole = a @ np.ones(WINDOW, np.float32)
+    if not shift and not _safe(whole):
+        return None
+    a /= whole[:, :, None]
+    mixed = np.matmul(a, v)
+    h = mixed + p["r"][fresh]
+    h += p["rb"]
+    np.maximum(h, 0, out=h)
+
+    # targets in the order of their places, so that those of one class follow each other
+    target = targets.ravel()
+    place = np.where(target >= 0, m.place[target], len(p["mb"]) * CLASS)
+    use = np.argsort(place.astype(np.uint16) if len(p["mb"]) * CLASS < 1 << 16 else place, kind="stable")
+    use = use[: int(np.count_nonzero(target >= 0))]
+    c, member = np.divmod(place[use], CLASS)
+    hu, n, row = h.reshape(-1, VALUE)[use], max(1, len(use)), np.arange(len(use))
     g = {x: np.zeros_like(y) for x, y in p.items()}
-    x = _log_softmax(hu @ p["cw"] + p["cb"])
-    loss = -x[np.arange(len(c)), c].sum()
-    d = np.exp(x)
-    d[np.arange(len(c)), c] -= 1
-    g["cw"], g["cb"] = hu.T @ d, d.sum(axis=0)
-    dh = d @ p["cw"].T
+    x = hu @ p["cw"]
+    x += p["cb"]
     cuts = np.flatnonzero(np.diff(c, prepend=-1, append=len(p["mb"])))
     runs = [(c[lo], lo, hi) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    y = p["mb"][c]
+    y = np.empty((len(use), CLASS), np.float32)
     for k_, lo, hi in runs:
-        y[lo:hi] += hu[lo:hi] @ p["mw"][k_]
-    y = _log_softmax(y)
-    loss -= y[np.arange(len(c)), place % CLASS].sum()
-    d = np.exp(y)
-    d[np.arange(len(c)), place % CLASS] -= 1
+        np.matmul(hu[lo:hi], p["mw"][k_], out=y[lo:hi])
+        y[lo:hi] += p["mb"][k_]
+    if shift:
+        x -= x.max(axis=1, keepdims=True)
+        y -= y.max(axis=1, keepdims=True)
+    logp = x[row, c] + y[row, member]
+    for logits, right in ((x, c), (y, member)):  # logits become the slopes of the loss by them
+        np.exp(logits, out=logits)
+        sums = logits @ np.ones(logits.shape[1], np.float32)
+        if not shift and not _safe(sums):
+            return None
+        logp -= np.log(sums)
+        logits /= sums[:, None]
+        logits[row, right] -= 1
+
+    g["cw"], g["cb"] = hu.T @ x, np.ones(len(x), np.float32) @ x
+    dh = x @ p["cw"].T
     for k_, lo, hi in runs:
-        g["mw"][k_] = hu[lo:hi].T @ d[lo:hi]
-        dh[lo:hi] += d[lo:hi] @ p["mw"][k_].T
-    if runs:
-        g["mb"][c[cuts[:-1]]] = np.add.reduceat(d, cuts[:-1], axis=0)
+        g["mw"][k_] = hu[lo:hi].T @ y[lo:hi]
+        g["mb"][k_] = np.ones(hi - lo, np.float32) @ y[lo:hi]
+        dh[lo:hi] += y[lo:hi] @ p["mw"][k_].T
+    dh *= hu > 0
+    g["rb"] = np.ones(len(dh), np.float32) @ dh
     dz = np.zeros_like(h)
-    dz[use] = dh
-    dz *= h > 0
-    g["rb"] = dz.sum(axis=0)
-    dz = dz.reshape(h4.shape)
-    da = np.matmul(dz, v.transpose(0, 2, 1))
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    dz.reshape(-1, VALUE)[use] = dh
+    ds = np.matmul(dz, v.transpose(0, 2, 1))
+    ds -= np.einsum("nfv,nfv->nf", dz, mixed)[:, :, None]
+    ds *= a
     np.add.at(g["near"], _DISTANCE.ravel(), ds.sum(axis=0).ravel())
     ds *= np.float32(KEY**-0.5)
     ids = len(p["q"])
     g["r"], g["q"] = _sums(ids, fresh.ravel(), dz.reshape(-1, VALUE), np.matmul(ds, k).reshape(-1, KEY))
     g["v"], g["k"] = _sums(ids, inputs.ravel(), np.matmul(a.transpose(0, 2, 1), dz).reshape(-1, VALUE), np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, KEY))
-    return float(loss) / n, {x: y / n for x, y in g.items()}
+    return -float(logp.sum(dtype=np.float64)) / n, {x: y / n for x, y in g.items()}
 
 
 class Trainer:
