@@ -394,6 +394,16 @@ def test_attention():
             loss.append(attention.gradients(m, inputs, targets)[0])
         v[i] = was
         assert abs((loss[0] - loss[1]) / 2e-2 - g[k][i]) < 2e-3 + 0.1 * abs(g[k][i])
+    # a constant on all logits changes nothing, but their exponentials overflow or vanish unless they are shifted
+    loss, g = attention.gradients(m, inputs, targets)
+    for by in (200, -200):
+        far = attention.Model(m.place, {k: v + np.float32(by) if k in ("cb", "mb", "near") else v for k, v in m.p.items()})
+        with np.errstate(all="ignore"):
+            assert attention._slopes(far, inputs, targets, shift=False) is None
+        far_loss, far_g = attention.gradients(far, inputs, targets)
+        assert abs(far_loss - loss) < 1e-3 and all(np.allclose(far_g[k], g[k], atol=1e-3) for k in g)
+    none_loss, none = attention.gradients(m, inputs, np.full_like(targets, -1))
+    assert none_loss == 0 and all(not x.any() for x in none.values())
 
 
 def test_lm_base(spark, odd, none):
