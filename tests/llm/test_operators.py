@@ -432,6 +432,35 @@ def test_lm_trains_on_every_text(spark):
     assert score(language_model.train(rows, first, path, 512)) > score(first) + 0.01
 
 
+def test_lm_reads_its_texts_four_times(spark, tmp_path):
+    """For their sizes, the sample, training and scoring."""
+    log = str(tmp_path / "reads")
+
+    def read(batches):
+        with open(log, "a") as f:
+            for b in batches:
+                f.write("x" * b.num_rows)
+                yield b
+
+    docs = spark.createDataFrame([(k, f"some text number {k}") for k in range(50)], "doc_id long, text string").coalesce(1).mapInArrow(read, "doc_id long, text string")
+    assert language_model.score(docs, F.col("doc_id") % 5 != 1, P.path("byte_bpe_50k.tiktoken"), 512, steps=5).count() == 50
+    assert len(open(log).read()) <= 4 * 50
+
+
+def test_windows_are_runs_of_their_texts():
+    rng = np.random.default_rng(4)
+    starts = np.cumsum([3, 1, 2, 17, 18, 40, 1, 100])
+    ids = rng.integers(0, 99, starts[-1] + 5)
+    found = attention.Windows(ids, starts, 100)
+    want = []
+    for k, (lo, hi) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+        for first in range(0, hi - lo - 1, attention.FRESH):
+            row = [ids[lo + t] if 0 <= t < hi - lo else 100 for t in range(first - attention.CONTEXT, first + attention.FRESH + 1)]
+            want.append((k, row[:-1], [-1 if x == 100 else x for x in row[attention.CONTEXT + 1 :]]))
+    inputs, targets = found.at(np.arange(len(found)))
+    assert [(k, i, t) for k, i, t in zip(found.text.tolist(), inputs.tolist(), targets.tolist())] == want
+
+
 def test_lm_scores_by_the_definition():
     """Batched windows against attention written out for one position after another."""
     rng = np.random.default_rng(3)

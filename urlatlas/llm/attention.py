@@ -18,6 +18,7 @@ import numpy as np
 KEY, VALUE, CLASS = 8, 32, 32
 CONTEXT, FRESH = 8, 16
 WINDOW = CONTEXT + FRESH
+TOGETHER = 8
 _LATER = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)[CONTEXT:]
 _DISTANCE = np.clip(np.arange(WINDOW)[CONTEXT:, None] - np.arange(WINDOW)[None], 0, WINDOW - 1)
 
@@ -52,21 +53,35 @@ def start(frequency: np.ndarray, seed: int = 7) -> Model:
     })
 
 
-def window_counts(starts: np.ndarray) -> np.ndarray:
-    """Windows before each text, and in all."""
-    return np.concatenate([[0], np.cumsum(-(-(np.diff(starts) - 1) // FRESH))])
+class Windows:
+    """The windows of texts ids[starts[k]:starts[k+1]] (each begins with the id that stands before a text). Texts are laid out
+    with pads between them, so that a window is a run of the layout."""
 
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, pad: int):
+        length = np.diff(starts)
+        counts = -(-(length - 1) // FRESH)
+        self.before = np.concatenate([[0], np.cumsum(counts)])  # windows before each text, and in all
+        begins = self.before[:-1] * FRESH + np.arange(len(counts)) * (CONTEXT + 1)
+        laid = np.full(int(self.before[-1]) * FRESH + len(counts) * (CONTEXT + 1) + WINDOW, pad, np.int64)
+        laid[np.arange(starts[0], starts[-1]) + np.repeat(begins + CONTEXT - starts[:-1], length)] = ids[starts[0] : starts[-1]]
+        self.pad, self.text = pad, np.repeat(np.arange(len(counts)), counts)
+        self.first = begins[self.text] + (np.arange(len(self)) - self.before[self.text]) * FRESH
+        self.runs = np.lib.stride_tricks.sliding_window_view(laid, WINDOW + 1)
 
-def windows(ids: np.ndarray, starts: np.ndarray, pad: int, chosen: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts ids[starts[k]:starts[k+1]] (each begins with the id that stands before a text) and the chosen ones of their
-    windows: inputs (windows x WINDOW), targets (windows x FRESH, -1 where there is none), and the text of each window."""
-    before = window_counts(starts) if before is None else before
-    text = np.searchsorted(before, chosen, "right") - 1
-    at = (chosen - before[text])[:, None] * FRESH + np.arange(-CONTEXT, FRESH + 1)  # place in its text
-    last = (starts[text + 1] - starts[text] - 1)[:, None]
-    inside = (at >= 0) & (at <= last)
-    row = np.where(inside, ids[np.clip(starts[text][:, None] + at, 0, len(ids) - 1)], pad)
-    return row[:, :-1], np.where(inside[:, CONTEXT + 1 :], row[:, CONTEXT + 1 :], -1), text
+    def __len__(self) -> int:
+        return int(self.before[-1])
+
+    def at(self, chosen: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs (windows x WINDOW) and targets (windows x FRESH, -1 where there is none)."""
+        row = self.runs[self.first[chosen]]
+        targets = row[:, CONTEXT + 1 :]
+        return row[:, :-1], np.where(targets == self.pad, -1, targets)
+
+
+def windows(ids: np.ndarray, starts: np.ndarray, pad: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets and texts of the chosen windows."""
+    found = Windows(ids, starts, pad)
+    return *found.at(chosen), found.text[chosen]
 
 
 def _safe(sums: np.ndarray) -> bool:
@@ -74,90 +89,133 @@ def _safe(sums: np.ndarray) -> bool:
     return not sums.size or bool(sums.min() > 1e-30 and sums.max() < 1e30)
 
 
+def _beside(rows: np.ndarray, value: float) -> np.ndarray:
+    """Rows with one more column of a value."""
+    return np.concatenate([rows, np.full((len(rows), 1), value, np.float32)], axis=1)
+
+
+@dataclass
+class _Pass:
+    """What a block of windows gives on the way to its log probabilities. `use`: targets in the order of their places, so that
+    those of one class follow each other (`runs`); `hu`, `up`: their vectors after the rectifier, and what it let through;
+    `x`, `y`: exponentials of the logits of classes and members, with their sums; `right`: each target's member in `y`."""
+
+    q: np.ndarray
+    k: np.ndarray
+    v: np.ndarray
+    a: np.ndarray
+    use: np.ndarray
+    hu: np.ndarray
+    up: np.ndarray
+    runs: list[tuple[int, slice]]
+    right: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    sums: tuple[np.ndarray, np.ndarray]
+    logp: np.ndarray
+
+
 class Scorer:
-    """A model's parameters laid out for scoring: values carry a column of ones, so that one product gives sums too."""
+    """A model's parameters laid out for products: values carry a column of ones, which comes out of the mix as 1, so biases
+    are rows of the weights."""
 
     def __init__(self, m: Model):
-        p = self.p = m.p
-        self.m = m
-        self.q = p["q"] * np.float32(KEY**-0.5)
-        self.v = np.concatenate([p["v"], np.ones((len(p["v"]), 1), np.float32)], axis=1)
-        self.r = p["r"] + p["rb"]
+        p, self.place = m.p, m.place
+        self.pad = m.pad
+        self.q, self.k = p["q"] * np.float32(KEY**-0.5), p["k"]
+        self.v, self.r = _beside(p["v"], 1), _beside(p["r"] + p["rb"], 0)
         self.bias = p["near"][_DISTANCE] + _LATER
-        self.ones = np.ones(CLASS, np.float32), np.ones(len(p["cb"]), np.float32)
+        self.cw, self.mw = np.concatenate([p["cw"], p["cb"][None]]), np.concatenate([p["mw"], p["mb"][:, None]], axis=1)
 
     def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log of each target's probability, 0 where there is no target. Usual logits need no shift before their
-        exponential; a block in which a sum leaves the safe range is done again with each row's maximum off."""
-        with np.errstate(all="ignore"):
-            out = self._block(inputs, targets, shift=False)
-        return out if out is not None else self._block(inputs, targets, shift=True)
+        """Natural log of each target's probability, 0 where there is no target."""
+        found = self.forward(inputs, targets)
+        out = np.zeros(targets.size, np.float32)
+        out[found.use] = found.logp
+        return out.reshape(targets.shape)
 
-    def _block(self, inputs: np.ndarray, targets: np.ndarray, shift: bool) -> np.ndarray | None:
-        p, fresh = self.p, inputs[:, CONTEXT:]
-        a = np.matmul(self.q[fresh], p["k"][inputs].transpose(0, 2, 1))
+    def forward(self, inputs: np.ndarray, targets: np.ndarray) -> _Pass:
+        """Usual logits need no shift before their exponential; a block in which a sum leaves the safe range is done again
+        with each row's maximum off."""
+        with np.errstate(all="ignore"):
+            out = self.pass_of(inputs, targets, shift=False)
+        return out if out is not None else self.pass_of(inputs, targets, shift=True)
+
+    def pass_of(self, inputs: np.ndarray, targets: np.ndarray, shift: bool) -> _Pass | None:
+        blocks, wide, classes = len(inputs), VALUE + 1, len(self.mw)
+        fresh = inputs[:, CONTEXT:].ravel()
+        q = self.q.take(fresh, axis=0).reshape(blocks, FRESH, KEY)
+        k, v = self.k.take(inputs, axis=0), self.v.take(inputs, axis=0)
+        a = np.matmul(q, k.transpose(0, 2, 1))
         a += self.bias
         if shift:
             a -= a.max(axis=2, keepdims=True)
-        mixed = np.matmul(np.exp(a, out=a), self.v[inputs]).reshape(-1, VALUE + 1)
-        target = targets.ravel()
-        place = np.where(target >= 0, self.m.place[target], 1 << 40)
-        order = np.argsort(place, kind="stable")
-        order = order[: int(np.count_nonzero(target >= 0))]
-        place, mixed = place[order], mixed[order]
-        if not shift and not _safe(mixed[:, VALUE]):
+        np.exp(a, out=a)
+        whole = a @ np.ones(WINDOW, np.float32)
+        if not shift and not _safe(whole):
             return None
-        h = mixed[:, :VALUE] / mixed[:, VALUE:]
-        h += self.r[fresh.ravel()[order]]
-        np.maximum(h, 0, out=h)
-        c, member = np.divmod(place, CLASS)
-        n = np.arange(len(c))
-        x = h @ p["cw"]
-        x += p["cb"]
+        a /= whole[:, :, None]
+        h = np.matmul(a, v).reshape(-1, wide)
+        h += self.r.take(fresh, axis=0)
+
+        target = targets.ravel()
+        place = np.where(target >= 0, self.place.take(target, mode="clip"), classes * CLASS)
+        use = np.argsort(place.astype(np.uint16) if classes * CLASS < 1 << 16 else place, kind="stable")
+        use = use[: int(np.count_nonzero(target >= 0))]
+        place, n = place.take(use), len(use)
+        hu = h.take(use, axis=0)
+        up = hu > 0
+        hu *= up
+        cuts = np.searchsorted(place, np.arange(classes + 1) * CLASS).tolist()
+        runs = [(c, slice(lo, hi)) for c, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
+        right = np.arange(0, n * CLASS, CLASS) + place % CLASS
+        x, y = hu @ self.cw, np.empty((n, CLASS), np.float32)
+        for c, run in runs:
+            np.matmul(hu[run], self.mw[c], out=y[run])
         if shift:
             x -= x.max(axis=1, keepdims=True)
-        logp = x[n, c]
-        whole = np.exp(x, out=x) @ self.ones[1]
-        cuts = np.searchsorted(c, np.arange(len(p["mb"]) + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            lo, hi = cuts[k], cuts[k + 1]
-            y = h[lo:hi] @ p["mw"][k]
-            y += p["mb"][k]
-            if shift:
-                y -= y.max(axis=1, keepdims=True)
-            logp[lo:hi] += y[n[: hi - lo], member[lo:hi]]
-            whole[lo:hi] *= np.exp(y, out=y) @ self.ones[0]
-        if not shift and not _safe(whole):
-            return None
-        logp -= np.log(whole)
-        out = np.zeros(len(target), np.float32)
-        out[order] = logp
-        return out.reshape(targets.shape)
+            y -= y.max(axis=1, keepdims=True)
+        logp = y.ravel().take(right)
+        for c, run in runs:
+            logp[run] += x[run, c]
+        sums = []
+        for logits in (x, y):
+            np.exp(logits, out=logits)
+            sums.append(logits @ np.ones(logits.shape[1], np.float32))
+            if not shift and not _safe(sums[-1]):
+                return None
+            logp -= np.log(sums[-1])
+        return _Pass(q, k, v, a, use, hu, up, runs, right, x, y, tuple(sums), logp)
 
 
 def score_texts(scorer: Scorer, ids: np.ndarray, starts: np.ndarray, block: int = 512) -> np.ndarray:
     """log10 probability of each text; a block of windows at a time, however long a text is."""
-    out, before = np.zeros(len(starts) - 1), window_counts(starts)
-    total = int(before[-1])
-    for lo in range(0, total, block):
-        inputs, targets, text = windows(ids, starts, scorer.m.pad, np.arange(lo, min(lo + block, total)), before)
-        first = int(text[0])
-        found = np.bincount(text - first, scorer.log_probabilities(inputs, targets).sum(axis=1, dtype=np.float64))
-        out[first : first + len(found)] += found
+    out, found = np.zeros(len(starts) - 1), Windows(ids, starts, scorer.pad)
+    for lo in range(0, len(found), block):
+        part = slice(lo, lo + block)
+        text = found.text[part]
+        sums = np.bincount(text - text[0], scorer.log_probabilities(*found.at(part)).sum(axis=1, dtype=np.float64))
+        out[text[0] : text[0] + len(sums)] += sums
     return out / np.log(10)
 
 
-def _sums(n: int, ids: np.ndarray, *rows: np.ndarray) -> list[np.ndarray]:
-    """For each array of rows the sum of the rows of each of n ids."""
+def _sums(n: int, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of the rows of each of n ids; there is one more row, of zeros. Each id's rows are filled up to a multiple of
+    TOGETHER with that row, so that most are added by whole arrays."""
     order = np.argsort(ids.astype(np.uint16) if n <= 1 << 16 else ids, kind="stable")
-    ids = ids[order]
-    first = np.flatnonzero(np.diff(ids, prepend=-1))
-    out = []
-    for x in rows:
-        total = np.zeros((n, x.shape[1]), x.dtype)
-        total[ids[first]] = np.add.reduceat(x[order], first, axis=0)
-        out.append(total)
-    return out
+    counts = np.bincount(ids, minlength=n)
+    groups = -(-counts // TOGETHER)
+    ahead = (np.cumsum(groups) - groups) * TOGETHER - (np.cumsum(counts) - counts)  # by how much an id's rows move
+    filled = np.full(int(groups.sum()) * TOGETHER, len(ids))
+    filled[np.arange(len(ids)) + ahead.take(ids.take(order))] = order
+    filled = filled.reshape(-1, TOGETHER).T.copy()
+    some = rows.take(filled[0], axis=0)
+    for other in filled[1:]:
+        some += rows.take(other, axis=0)
+    total, has = np.zeros((n, rows.shape[1]), rows.dtype), np.flatnonzero(counts)
+    if len(has):
+        total[has] = np.add.reduceat(some, (np.cumsum(groups) - groups)[has], axis=0)
+    return total
 
 
 def gradients(m: Model, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -168,89 +226,69 @@ def gradients(m: Model, inputs: np.ndarray, targets: np.ndarray) -> tuple[float,
 
 
 def _slopes(m: Model, inputs: np.ndarray, targets: np.ndarray, shift: bool) -> tuple[float, dict[str, np.ndarray]] | None:
-    p, fresh = m.p, inputs[:, CONTEXT:]
-    q, k, v = p["q"][fresh], p["k"][inputs], p["v"][inputs]
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    a *= np.float32(KEY**-0.5)
-    a += p["near"][_DISTANCE] + _LATER
-    if shift:
-        a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    whole = a @ np.ones(WINDOW, np.float32)
-    if not shift and not _safe(whole):
+    s = Scorer(m)
+    f = s.pass_of(inputs, targets, shift)
+    if f is None:
         return None
-    a /= whole[:, :, None]
-    mixed = np.matmul(a, v)
-    h = mixed + p["r"][fresh]
-    h += p["rb"]
-    np.maximum(h, 0, out=h)
-
-    # targets in the order of their places, so that those of one class follow each other
-    target = targets.ravel()
-    place = np.where(target >= 0, m.place[target], len(p["mb"]) * CLASS)
-    use = np.argsort(place.astype(np.uint16) if len(p["mb"]) * CLASS < 1 << 16 else place, kind="stable")
-    use = use[: int(np.count_nonzero(target >= 0))]
-    c, member = np.divmod(place[use], CLASS)
-    hu, n, row = h.reshape(-1, VALUE)[use], max(1, len(use)), np.arange(len(use))
-    g = {x: np.zeros_like(y) for x, y in p.items()}
-    x = hu @ p["cw"]
-    x += p["cb"]
-    cuts = np.flatnonzero(np.diff(c, prepend=-1, append=len(p["mb"])))
-    runs = [(c[lo], lo, hi) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    y = np.empty((len(use), CLASS), np.float32)
-    for k_, lo, hi in runs:
-        np.matmul(hu[lo:hi], p["mw"][k_], out=y[lo:hi])
-        y[lo:hi] += p["mb"][k_]
-    if shift:
-        x -= x.max(axis=1, keepdims=True)
-        y -= y.max(axis=1, keepdims=True)
-    logp = x[row, c] + y[row, member]
-    for logits, right in ((x, c), (y, member)):  # logits become the slopes of the loss by them
-        np.exp(logits, out=logits)
-        sums = logits @ np.ones(logits.shape[1], np.float32)
-        if not shift and not _safe(sums):
-            return None
-        logp -= np.log(sums)
-        logits /= sums[:, None]
-        logits[row, right] -= 1
-
-    g["cw"], g["cb"] = hu.T @ x, np.ones(len(x), np.float32) @ x
-    dh = x @ p["cw"].T
-    for k_, lo, hi in runs:
-        g["mw"][k_] = hu[lo:hi].T @ y[lo:hi]
-        g["mb"][k_] = np.ones(hi - lo, np.float32) @ y[lo:hi]
-        dh[lo:hi] += y[lo:hi] @ p["mw"][k_].T
-    dh *= hu > 0
-    g["rb"] = np.ones(len(dh), np.float32) @ dh
-    dz = np.zeros_like(h)
-    dz.reshape(-1, VALUE)[use] = dh
-    ds = np.matmul(dz, v.transpose(0, 2, 1))
-    ds -= np.einsum("nfv,nfv->nf", dz, mixed)[:, :, None]
-    ds *= a
-    np.add.at(g["near"], _DISTANCE.ravel(), ds.sum(axis=0).ravel())
-    ds *= np.float32(KEY**-0.5)
-    ids = len(p["q"])
-    g["r"], g["q"] = _sums(ids, fresh.ravel(), dz.reshape(-1, VALUE), np.matmul(ds, k).reshape(-1, KEY))
-    g["v"], g["k"] = _sums(ids, inputs.ravel(), np.matmul(a.transpose(0, 2, 1), dz).reshape(-1, VALUE), np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, KEY))
-    return -float(logp.sum(dtype=np.float64)) / n, {x: y / n for x, y in g.items()}
+    blocks, n, ids, wide = len(inputs), len(f.use), len(s.q), VALUE + 1
+    x, y, share = f.x, f.y, np.float32(1 / max(1, n))
+    for slope, sums in zip((x, y), f.sums, strict=True):  # of the mean loss, by the logits
+        slope *= (share / sums)[:, None]
+    y.ravel()[f.right] -= share
+    gm, dh, more = np.zeros_like(s.mw), np.empty((n + 1, wide + KEY), np.float32), np.empty((n, wide), np.float32)
+    for c, run in f.runs:
+        x[run, c] -= share
+        np.matmul(f.hu[run].T, y[run], out=gm[c])
+        np.matmul(y[run], s.mw[c].T, out=more[run])
+    gc = f.hu.T @ x
+    more += x @ s.cw.T
+    np.multiply(more, f.up, out=dh[:n, :wide])
+    dh[:n, VALUE:], dh[n] = 0, 0  # the ones are constant
+    back = np.full(targets.size + 1, n)
+    back[f.use] = np.arange(n)
+
+    # rows of slopes by the vectors of each fresh input, and of each input; one of zeros follows
+    own, seen = dh.take(back, axis=0), np.empty((blocks * WINDOW + 1, wide + KEY), np.float32)
+    seen[-1] = 0
+    by_fresh, by_every = own[:-1].reshape(blocks, FRESH, -1), seen[:-1].reshape(blocks, WINDOW, -1)
+    dz = by_fresh[:, :, :wide]
+    ds = np.matmul(dz, f.v.transpose(0, 2, 1))
+    ds -= np.einsum("nfw,nfw->nf", ds, f.a)[:, :, None]
+    ds *= f.a
+    np.matmul(ds, f.k, out=by_fresh[:, :, wide:])
+    np.matmul(f.a.transpose(0, 2, 1), dz, out=by_every[:, :, :wide])
+    np.matmul(ds.transpose(0, 2, 1), f.q, out=by_every[:, :, wide:])
+    own, seen = _sums(ids, inputs[:, CONTEXT:].ravel(), own), _sums(ids, inputs.ravel(), seen)
+    near = np.bincount(_DISTANCE.ravel(), ds.sum(axis=0).ravel(), minlength=WINDOW).astype(np.float32)
+    return -float(f.logp.sum(dtype=np.float64)) / max(1, n), {
+        "q": own[:, wide:] * np.float32(KEY**-0.5), "k": seen[:, wide:], "v": seen[:, :VALUE], "r": own[:, :VALUE], "near": near,
+        "rb": own[:, :VALUE].sum(axis=0), "cw": gc[:VALUE], "cb": gc[VALUE], "mw": gm[:, :VALUE], "mb": gm[:, VALUE],
+    }
 
 
 class Trainer:
-    """Adam over blocks of windows; the learning rate falls to a tenth over `steps`, or by the root of the steps taken."""
+    """Adam over blocks of windows; the learning rate falls to a tenth over `steps`, or by the root of the steps taken. The
+    model's parameters become views of one array."""
 
     def __init__(self, model: Model, rate: float, steps: int | None = None):
         self.m, self.rate, self.steps, self.step = model, rate, steps, 0
-        self.one = {k: np.zeros_like(v) for k, v in model.p.items()}
-        self.two = {k: np.zeros_like(v) for k, v in model.p.items()}
+        self.flat = pack(model.p)
+        model.p = unpack(self.flat, model.p)
+        self.one, self.two, self.work = np.zeros_like(self.flat), np.zeros_like(self.flat), np.empty_like(self.flat)
 
     def train(self, inputs: np.ndarray, targets: np.ndarray) -> float:
         loss, g = gradients(self.m, inputs, targets)
         self.step += 1
         rate = self.rate * (max(0.1, 1 - 0.9 * self.step / self.steps) if self.steps else (1 + self.step / 100) ** -0.5)
-        for k, slope in g.items():
-            self.one[k] += 0.1 * (slope - self.one[k])
-            self.two[k] += 0.01 * (slope * slope - self.two[k])
-            self.m.p[k] -= np.float32(rate) * (self.one[k] / np.float32(1 - 0.9**self.step)) / (np.sqrt(self.two[k] / np.float32(1 - 0.99**self.step)) + np.float32(1e-8))
+        slope, work = pack(g), self.work
+        self.one += np.multiply(np.subtract(slope, self.one, out=work), np.float32(0.1), out=work)
+        slope *= slope
+        self.two += np.multiply(np.subtract(slope, self.two, out=work), np.float32(0.01), out=work)
+        np.sqrt(np.multiply(self.two, np.float32(1 / (1 - 0.99**self.step)), out=work), out=work)
+        work += np.float32(1e-8)
+        np.divide(self.one, work, out=work)
+        work *= np.float32(rate / (1 - 0.9**self.step))
+        self.flat -= work
         return loss
 
 
@@ -261,6 +299,6 @@ def pack(p: dict[str, np.ndarray]) -> np.ndarray:
 def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32, copy=False)
         at += like[k].size
     return out

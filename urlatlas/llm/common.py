@@ -94,6 +94,15 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def keep_freed() -> None:
+    """Lets this process hold 64 MB that it has freed, till release(): steps that make arrays of a few MB over and over would
+    otherwise get their pages from the system each time."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+
+
 def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
     """Lets at most so many rows go to a Python worker at once: texts are long, and a batch lies in both processes."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

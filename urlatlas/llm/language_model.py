@@ -96,11 +96,10 @@ def _slices(batches):
             yield b.slice(lo, hi - lo), data, starts[lo : hi + 1]
 
 
-def window_sample(texts: DataFrame, ranks_path: str, vocabulary: int, sample: int, each: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_sample(texts: DataFrame, total: int, ranks_path: str, vocabulary: int, sample: int, each: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Inputs and targets of at most `each` windows of each of about `sample` texts, and the sample's most frequent words'
-    hashes with their counts. A text's chance grows with its size; copies count once."""
+    hashes with their counts. A text's chance grows with its size; copies count once. `total`: bytes of all the texts."""
     size = F.octet_length("text")
-    total = texts.agg(F.sum(size)).first()[0] or 0
     chance = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)
     chosen = texts.where(F.col("text").isNotNull() & (chance < size * (sample / max(1, total)))).select(F.xxhash64("text").alias("h"), "text").dropDuplicates(["h"]).select("text")
 
@@ -108,10 +107,9 @@ def window_sample(texts: DataFrame, ranks_path: str, vocabulary: int, sample: in
         subwords, rng = subwords_of(ranks_path, vocabulary), np.random.default_rng(seed)
         for _, data, starts in _slices(batches):
             words = words_of(data, starts)
-            ids, begins = subwords.texts(words)
-            before = attention.window_counts(begins)
-            picks = [lo + rng.permutation(hi - lo)[:each] for lo, hi in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
-            inputs, targets, _ = attention.windows(ids, begins, vocabulary + 1, np.concatenate(picks), before)
+            found = attention.Windows(*subwords.texts(words), vocabulary + 1)
+            picks = [lo + rng.permutation(hi - lo)[:each] for lo, hi in zip(found.before[:-1].tolist(), found.before[1:].tolist(), strict=True)]
+            inputs, targets = found.at(np.concatenate(picks))
             counts = np.bincount(words.at, minlength=len(words.names))
             top = np.argsort(-counts, kind="stable")[:20_000]
             blobs = inputs.astype(np.int16), targets.astype(np.int16), words.hashes()[top], counts[top].astype(np.int64)
@@ -151,12 +149,12 @@ def train(texts: DataFrame, model: attention.Model, ranks_path: str, vocabulary:
         own = attention.Model(shared.value.place, {k: v.copy() for k, v in shared.value.p.items()})
         subwords, rng, trainer, seen = subwords_of(ranks_path, vocabulary), np.random.default_rng(seed), attention.Trainer(own, rate), 0
         inputs, targets = np.zeros((0, attention.WINDOW), np.int64), np.zeros((0, attention.FRESH), np.int64)
+        common.keep_freed()
         for _, data, starts in _slices(batches):
-            ids, begins = subwords.texts(words_of(data, starts))
-            before = attention.window_counts(begins)
-            chosen = rng.permutation(int(before[-1]))
+            found = attention.Windows(*subwords.texts(words_of(data, starts)), own.pad)
+            chosen = rng.permutation(len(found))
             for lo in range(0, len(chosen), block):
-                more = attention.windows(ids, begins, own.pad, chosen[lo : lo + block], before)
+                more = found.at(chosen[lo : lo + block])
                 inputs, targets = np.concatenate([inputs, more[0]]), np.concatenate([targets, more[1]])
                 if len(inputs) >= block:  # what is left over waits for the next windows
                     trainer.train(inputs[:block], targets[:block])
@@ -213,11 +211,12 @@ def score(docs: DataFrame, is_train: Column, ranks_path: str, vocabulary: int =
     spark = docs.sparkSession
     rows = common.small_batches(docs.select("doc_id", "text", is_train.alias("train")))
     texts = rows.where("train").select("text")
-    inputs, targets, names, counts = window_sample(texts, ranks_path, vocabulary, sample, each, seed)
+    size = F.octet_length("text")
+    of_training, total = (x or 0 for x in rows.agg(F.sum(F.when(F.col("train"), size)), F.sum(size)).first())
+    inputs, targets, names, counts = window_sample(texts, of_training, ranks_path, vocabulary, sample, each, seed)
     usual_words = np.sort(np.append(names[np.argsort(-counts, kind="stable")[:usual]], END_HASH))
     model = train(texts, first_model(inputs, targets, vocabulary, steps, 512, seed), ranks_path, vocabulary)
     shared = spark.sparkContext.broadcast((model, usual_words))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, total // (6 * BUCKET_WORDS) + 1)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -226,6 +225,7 @@ def score(docs: DataFrame, is_train: Column, ranks_path: str, vocabulary: int =
         subwords, task, number, scorer = subwords_of(ranks_path, vocabulary), TaskContext.get().partitionId(), 0, attention.Scorer(model)
         seen = np.zeros(len(usual_words), np.int64)
         ids = None
+        common.keep_freed()
         for part, data, starts in _slices(batches):
             training = np.array(part.column("train").to_pylist(), bool)
             words = words_of(data, starts)
