@@ -61,6 +61,16 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in a folder that all executors share, spark.checkpoint.dir or else the warehouse, for a table that a
+    lazy result reads; it goes when the application ends."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{where}/{name}-{uuid.uuid4().hex}"
+    fs, p, _ = _at(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
 def children(spark: SparkSession, path: str) -> list[tuple[str, bool, int]]:
     """(name, is a directory, bytes), sorted by name; none if the path is missing."""
     fs, p, _ = _at(spark, path)

@@ -32,11 +32,15 @@ def index_path(base: str, version: str, table: str) -> str:
 
 def dense_ids(df: DataFrame, key: str, column: str, first: int = 0) -> DataFrame:
     """Adds first, first + 1, ... in the order of a column of distinct values: range partitions, each numbered by itself,
-    and the sizes of those before it. Only the sizes pass through one task."""
+    and the sizes of those before it. Only the sizes pass through one task. The ranges are sampled, so the numbered rows are
+    written once and read from there: a persisted table isn't found again below a union with one inside, as `union` merges
+    the two, and other ranges than those that were counted give wrong ids."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("at", F.monotonically_increasing_id())
-    placed = placed.persist()  # both reads below must see the same ranges; Spark lets it go with the last reference
+    path = files.scratch(spark, "dense-ids")
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
     sizes = {r["p"]: r["n"] for r in placed.groupBy(F.shiftright("at", 33).alias("p")).count().withColumnRenamed("count", "n").collect()}
     before, total = [], first
     for p in sorted(sizes):

@@ -122,7 +122,9 @@ def incremental_dictionary(spark, sf_dir):
     rows = _halves(spark, sf_dir).persist()
     old = domain_ids(rows.where("half = 0"))
     first = old.agg(F.count(F.lit(1))).first()[0]
-    return old.select("domain", "domain_id").unionByName(index.dense_ids(_new_domains(rows), "domain", "domain_id", first))
+    new = index.dense_ids(_new_domains(rows), "domain", "domain_id", first)
+    rows.unpersist()
+    return old.select("domain", "domain_id").unionByName(new)
 
 
 def incremental_membership(spark, sf_dir):
