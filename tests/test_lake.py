@@ -40,6 +40,23 @@ def test_lake(spark, base):
         lake.check_schema(frame(spark, FIRST))
 
 
+def test_listing_by_dataset(spark, tmp_path, monkeypatch):
+    """Other folders and files don't count, empty partitions do, and the store isn't asked for each partition."""
+    for name in ("dataset_id=17/domain_prefix=3a/part-0.parquet", "dataset_id=17/domain_prefix=3a/other.txt", "dataset_id=17/domain_prefix=5b/part-0.parquet", "dataset_id=17/part-1.parquet",
+                 "dataset_id=23/domain_prefix=3a/part-0.parquet/x", "dataset_id=abc/domain_prefix=3a/part-0.parquet", "dataset_id=17/domain_prefix=/part-0.parquet"):
+        path = tmp_path / "urls" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x" * 100)
+    asked = []
+    one = files.children
+    monkeypatch.setattr(files, "children", lambda spark, path: asked.append(path) or one(spark, path))
+    base = str(tmp_path)
+    assert lake.storage_stats(spark, base) == {"partitions": 3, "files": 2, "bytes": 200, "datasets": {17: {"partitions": 2, "files": 2}, 23: {"partitions": 1, "files": 0}}}
+    assert not [p for p in asked if "domain_prefix" in p]
+    assert set(lake.files_of(spark, base, 17)) == {f"{base}/urls/dataset_id=17/domain_prefix={p}/part-0.parquet" for p in ("3a", "5b")}
+    assert lake.files_of(spark, str(tmp_path / "none"), 17) == {}
+
+
 def test_queries(spark, base):
     q = QueryService(spark, base)
     assert [(r["dataset_id"], r["urls"]) for r in q.datasets_for_domain(ALPHA).collect()] == [(0, 3), (1, 1)]

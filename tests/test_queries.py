@@ -4,6 +4,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from urlatlas import files
 from urlatlas import queries as engine
 
 DATA = "/root/testdata/sf0.001"
@@ -35,6 +36,15 @@ def test_ids_keep_their_ranges(spark):
     assert ids == list(range(len(ids)))
 
 
+def test_lake_alone(spark):
+    """Partitions and files of the lake don't wait for an index of it."""
+    engine._lake.cache_clear()
+    engine._built.cache_clear()
+    stats = {r["dataset_id"]: r["partitions"] for r in engine.storage_stats(spark, DATA).collect()}
+    assert sum(stats.values()) == engine.lake_partition_listing(spark, DATA).count() > len(stats)
+    assert not files.exists(spark, f"{engine._lake(spark, DATA)}/index")
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

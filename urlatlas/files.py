@@ -77,3 +77,12 @@ def children(spark: SparkSession, path: str) -> list[tuple[str, bool, int]]:
     if not fs.exists(p):
         return []
     return sorted((s.getPath().getName(), s.isDirectory(), s.getLen()) for s in fs.listStatus(p))
+
+
+def grandchildren(spark: SparkSession, path: str) -> list[tuple[str, str, bool, int]]:
+    """(folder, name, is a directory, bytes) of what the folders of a folder hold, sorted, from one call for all of them."""
+    fs, p, jvm = _at(spark, path)
+    if not fs.exists(p):
+        return []
+    found = fs.listStatus(jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(fs.listStatus(p)))
+    return sorted((*s.getPath().toString().rsplit("/", 2)[1:], s.isDirectory(), s.getLen()) for s in found)

@@ -56,7 +56,7 @@ def relative(path) -> F.Column:
 
 def lake_files(spark: SparkSession, base: str) -> DataFrame:
     """path, dataset_id, domain_prefix of the lake's files."""
-    found = [(f"urls/dataset_id={d}/domain_prefix={p}/{name}", d, p) for d, p in lake.partitions(spark, base) for name, _ in lake.partition_files(spark, base, d, p)]
+    found = [(f"urls/dataset_id={d}/domain_prefix={p}/{name}", d, p) for d, p, held in lake.listing(spark, base) for name, _ in held]
     return spark.createDataFrame(found, "path string, dataset_id int, domain_prefix string")
 
 

@@ -190,17 +190,24 @@ def distinct_datasets_approx(spark, sf_dir):
 
 
 @lru_cache
-def _built(spark: SparkSession, sf_dir: str) -> str:
-    """A lake and index of the corpus in the warehouse, which a session shares."""
+def _lake(spark: SparkSession, sf_dir: str) -> str:
+    """A lake of the corpus in the warehouse, which a session shares."""
     base = _folder(spark)
     rows = corpus(spark, sf_dir)
     lake.write(ingest.normalise(rows.join(F.broadcast(datasets(rows)), "dataset"), F.col("dataset_id")), base)
+    return base
+
+
+@lru_cache
+def _built(spark: SparkSession, sf_dir: str) -> str:
+    """The lake and its index."""
+    base = _lake(spark, sf_dir)
     index.build(spark, base)
     return base
 
 
 def lake_partition_listing(spark, sf_dir):
-    return spark.createDataFrame(lake.partitions(spark, _built(spark, sf_dir)), "dataset_id int, domain_prefix string")
+    return spark.createDataFrame(lake.partitions(spark, _lake(spark, sf_dir)), "dataset_id int, domain_prefix string")
 
 
 def postings(spark, sf_dir):
@@ -215,7 +222,7 @@ def file_registry(spark, sf_dir):
 
 
 def storage_stats(spark, sf_dir):
-    found = lake.storage_stats(spark, _built(spark, sf_dir))
+    found = lake.storage_stats(spark, _lake(spark, sf_dir))
     return spark.createDataFrame([(k, v["partitions"], v["files"]) for k, v in found["datasets"].items()], "dataset_id int, partitions long, files long")
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,13 +77,31 @@ def partition_path(base: str, dataset_id: int, prefix: str) -> str:
     return f"{root(base)}/dataset_id={dataset_id}/domain_prefix={prefix}"
 
 
+def _is_part(name: str, folder: bool) -> bool:
+    return not folder and name.startswith("part-") and name.endswith(".parquet")
+
+
 def partition_files(spark: SparkSession, base: str, dataset_id: int, prefix: str) -> list[tuple[str, int]]:
-    return [(name, size) for name, folder, size in files.children(spark, partition_path(base, dataset_id, prefix)) if not folder and name.startswith("part-") and name.endswith(".parquet")]
+    return [(name, size) for name, folder, size in files.children(spark, partition_path(base, dataset_id, prefix)) if _is_part(name, folder)]
+
+
+def listing(spark: SparkSession, base: str, dataset_id: int | None = None) -> Iterator[tuple[int, str, list[tuple[str, int]]]]:
+    """(dataset, prefix, names and bytes of its files) of each of `partitions`; the store is asked once for a dataset, not
+    once for a partition."""
+    held: dict[str, list[tuple[str, int]]] = {}
+    last = None
+    for d, p in partitions(spark, base, dataset_id):
+        if d != last:
+            held, last = defaultdict(list), d
+            for parent, name, folder, size in files.grandchildren(spark, f"{root(base)}/dataset_id={d}"):
+                if _is_part(name, folder):
+                    held[parent].append((name, size))
+        yield d, p, held.get(f"domain_prefix={p}", [])
 
 
 def files_of(spark: SparkSession, base: str, dataset_id: int) -> dict[str, int]:
     """Paths of a dataset's files, with their sizes in bytes."""
-    return {f"{partition_path(base, d, p)}/{name}": size for d, p in partitions(spark, base, dataset_id) for name, size in partition_files(spark, base, d, p)}
+    return {f"{partition_path(base, d, p)}/{name}": size for d, p, found in listing(spark, base, dataset_id) for name, size in found}
 
 
 def read_partition(spark: SparkSession, base: str, dataset_id: int, prefix: str) -> DataFrame:
@@ -93,8 +113,7 @@ def read_partition(spark: SparkSession, base: str, dataset_id: int, prefix: str)
 def storage_stats(spark: SparkSession, base: str) -> dict:
     """Partitions (empty ones too), files and bytes, in all and by dataset."""
     out = {"partitions": 0, "files": 0, "bytes": 0, "datasets": {}}
-    for dataset_id, prefix in partitions(spark, base):
-        found = partition_files(spark, base, dataset_id, prefix)
+    for dataset_id, _, found in listing(spark, base):
         own = out["datasets"].setdefault(dataset_id, {"partitions": 0, "files": 0})
         for x in (out, own):
             x["partitions"] += 1
